@@ -134,9 +134,9 @@ def learn(voted: DataFrame) -> DataFrame:
 def judge(documents: DataFrame, narrow: list[str] | None = None) -> DataFrame:
     """Add the base features, ``base_failed``, ``quality`` (posterior, double) and ``kept`` to every row.
 
-    ``narrow`` names the input columns to return (all by default); with it the
-    features are written once and read for both uses, else texts are read
-    twice. Null and empty texts have no words and fail the base rules. Equal
+    ``narrow`` names the input columns to return (all by default). They and the
+    features are written once and read for both uses; in one plan the features'
+    expressions would be copied into every filter. Null and empty texts have no words and fail the base rules. Equal
     texts get equal values; an empty table gives an empty one; input columns of
     the added names are replaced.
     """
@@ -144,9 +144,9 @@ def judge(documents: DataFrame, narrow: list[str] | None = None) -> DataFrame:
     rows = documents.drop(*added)
     voted = base_features(rows)
     voted = voted.withColumn("votes", F.array(*votes())).withColumn("base_failed", base_failed())
-    if narrow is not None:
-        voted = materialise(voted.select(*narrow, *added[:7]), "quality")
+    names = rows.columns if narrow is None else narrow
+    voted = materialise(voted.select(*names, *added[:7]), "quality")
     model = learn(voted.select("votes"))
     scored = voted.crossJoin(F.broadcast(model)).withColumn("quality", _sigmoid(_log_odds(F.col("votes"), F.col("model"))))
     scored = scored.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= 0.5))
-    return scored.select(*(narrow if narrow is not None else rows.columns), *added)
+    return scored.select(*names, *added)

@@ -26,7 +26,7 @@ WORD = re.compile(r"\w+")
 class Settings:
     """sample_rows bounds the labelled rows that the fit reads; everything else sees all rows."""
 
-    sample_rows: int = 5000
+    sample_rows: int = 4000
     max_features: int = 4000
     min_documents: int = 6
     min_chi_square: float = 18.0
@@ -84,10 +84,9 @@ def fit(rows: list[tuple[str | None, int]], settings: Settings = Settings()) ->
     toxic = np.array([int(t or 0) for _, t in rows], dtype=int)
     if not len(rows) or toxic.min() == toxic.max():
         return Model(prefixes=settings.prefixes, reject_at=settings.reject_at)
-    found = [features(text or "", settings.prefixes) for text, _ in rows]
     in_toxic, in_clean = Counter(), Counter()
-    for f, t in zip(found, toxic):
-        (in_toxic if t else in_clean).update(f)
+    for (text, _), t in zip(rows, toxic):
+        (in_toxic if t else in_clean).update(features(text or "", settings.prefixes))
     a, b = toxic.sum(), len(toxic) - toxic.sum()
     scored = []
     for f in set(in_toxic) | set(in_clean):
@@ -100,6 +99,7 @@ def fit(rows: list[tuple[str | None, int]], settings: Settings = Settings()) ->
     scored.sort(key=lambda p: (-p[0], p[1]))
     names = [f for _, f in scored[: settings.max_features]]
     place = {f: i for i, f in enumerate(names)}
+    found = [features(text or "", settings.prefixes, place) for text, _ in rows]  # of the chosen features only
     evidence = {f for f in names if f[0] == "=" and in_toxic[f] / a > 8 * (in_clean[f] + 0.5) / b}
     hits = np.array([sum(f in evidence for f in fs) for fs in found])
     median = max(1.0, float(np.median(hits[toxic == 1])))
