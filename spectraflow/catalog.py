@@ -1,4 +1,255 @@
-"""Queries of the engine over the driver's tables, with the same in SQL."""
+"""Queries of the engine over the driver's tables, with the same in DuckDB's SQL.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Events stand for chromatographic points: a user is a mass track, the hour a
+scan, the value an intensity (in whole hundredths, so sums are exact).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spectraflow.functions import arrays, mass
+from spectraflow.operators import bands, islands, pairing, tables, tracks
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scan = F.expr("timestampdiff(HOUR, timestamp_ntz'2024-01-01 00:00:00', ts)").cast("long")  # no time zone has a say
+    return _read(spark, sf_dir, "events").select(
+        "event_id", F.col("user_id").alias("track"), scan.alias("scan"), F.floor(F.col("value") * 100 + 0.5).cast("long").alias("intensity"), "event_type", "value"
+    )
+
+
+POINTS = """points AS (SELECT event_id, user_id AS track, CAST(floor((epoch_us(ts) - 1704067200000000) / 3600000000e0) AS BIGINT) AS scan,
+  CAST(floor(value * 100 + 0.5e0) AS BIGINT) AS intensity, event_type, value FROM events)"""
+REGIONS = f"""{POINTS}, best AS (SELECT track, scan, max(intensity) AS i FROM points GROUP BY 1, 2),
+  marked AS (SELECT *, CASE WHEN scan - lag(scan) OVER (PARTITION BY track ORDER BY scan) >= 3 THEN 1 ELSE 0 END AS fresh FROM best),
+  runs AS (SELECT *, sum(fresh) OVER (PARTITION BY track ORDER BY scan ROWS UNBOUNDED PRECEDING) AS region FROM marked),
+  regions AS (SELECT track, CAST(region AS BIGINT) AS region, min(scan) AS left_base, max(scan) AS right_base, arg_max(scan, i * 100000 - scan) AS apex,
+    max(i) AS height, CAST(sum(i) AS BIGINT) AS peak_area, count(*) AS n_scans FROM runs GROUP BY 1, 2)"""
+
+
+def roi_islands(spark, sf_dir):
+    return tracks.regions(points(spark, sf_dir), "track", "scan", "intensity").withColumn("region", F.col("region").cast("long"))
+
+
+def feature_table(spark, sf_dir):
+    found = tracks.regions(points(spark, sf_dir), "track", "scan", "intensity")
+    kept = found.where((F.col("n_scans") > 1) & (F.col("height") > 1000))
+    return kept.select(F.concat(F.lit("F"), "track", F.lit("_"), "region").alias("id_number"), "left_base", "right_base", "apex", "height", "peak_area", "n_scans")
+
+
+def mz_selectivity(spark, sf_dir):
+    prices = _read(spark, sf_dir, "part").select(F.col("p_retailprice").alias("mz")).distinct()
+    return pairing.selectivity(prices, "mz", 5.0, reach=1.0).select("mz", F.round("selectivity", 8).alias("selectivity"))
+
+
+def paired_mapping(spark, sf_dir):
+    a = _read(spark, sf_dir, "customer").where("c_acctbal > 100").select(F.col("c_acctbal").alias("v"), F.col("c_custkey").alias("k"))
+    b = _read(spark, sf_dir, "supplier").where("s_acctbal > 100").select(F.col("s_acctbal").alias("v"), F.col("s_suppkey").alias("k"))
+    return pairing.paired_mapping(a, b, "v", "k", 300.0)
+
+
+def band_join_all(spark, sf_dir):
+    a = _read(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
+    b = _read(spark, sf_dir, "customer").where("c_acctbal > 0").select("c_custkey", "c_acctbal")
+    return bands.ppm_join(a, b, "p_retailprice", "c_acctbal", 50.0, 1.0).select("p_partkey", "c_custkey")
+
+
+def _halves(spark, sf_dir):
+    e = points(spark, sf_dir).where("intensity > 0")
+    a = e.where("event_id % 2 = 0").select(F.col("event_id").alias("left_id"), F.col("intensity").alias("left_mz"), F.col("scan").alias("left_rt"))
+    b = e.where("event_id % 2 = 1").select(F.col("event_id").alias("right_id"), F.col("intensity").alias("right_mz"), F.col("scan").alias("right_rt"))
+    close = (F.abs(F.col("left_mz") - F.col("right_mz")) * 1000 <= F.col("left_mz")) & (F.abs(F.col("left_rt") - F.col("right_rt")) < 5)
+    return bands.band_join(a, b, "left_rt", "right_rt", 5.0, close)
+
+
+def match_features(spark, sf_dir):
+    return _halves(spark, sf_dir).select("left_id", "right_id")
+
+
+def mutual_best_match(spark, sf_dir):
+    best = bands.mutual_best(_halves(spark, sf_dir), "left_id", "right_id", F.abs(F.col("left_mz") - F.col("right_mz")))
+    return best.select("left_id", "right_id", F.abs(F.col("left_mz") - F.col("right_mz")).alias("apart"))
+
+
+PAIRS = f"""{POINTS}, a AS (SELECT * FROM points WHERE intensity > 0 AND event_id % 2 = 0), b AS (SELECT * FROM points WHERE intensity > 0 AND event_id % 2 = 1),
+  pairs AS (SELECT a.event_id AS left_id, b.event_id AS right_id, abs(a.intensity - b.intensity) AS apart FROM a JOIN b
+    ON abs(a.intensity - b.intensity) * 1000 <= a.intensity AND abs(a.scan - b.scan) < 5)"""
+
+
+def nearest_pairs(spark, sf_dir):
+    p = _read(spark, sf_dir, "part").select("p_partkey", F.floor(F.col("p_retailprice") * 100 + 0.5).cast("long").alias("v"))
+    a = p.select(F.col("p_partkey").alias("left_key"), (F.col("v") + 100).alias("target"))
+    b = p.select(F.col("p_partkey").alias("right_key"), F.col("v").alias("found"))
+    near = bands.nearest_within(a, b, "target", "found", 50.0, F.abs(F.col("target") - F.col("found")) < 20, "left_key", "right_key")
+    return near.select("left_key", "right_key")
+
+
+def mz_islands(spark, sf_dir):
+    rows = _read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_extendedprice").alias("mz"))
+    binned = islands.mz_bins(rows, F.floor("mz"), 2, 5.0)
+    return binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.min("mz").alias("low"), F.max("mz").alias("high")).withColumn("bin", F.col("bin").cast("long"))
+
+
+def consensus_mz(spark, sf_dir):
+    return tracks.consensus_mz(points(spark, sf_dir), "track", "value", "intensity", "event_id").select("track", F.round("mz", 6).alias("mz"), "height", "n_points")
+
+
+def composite_sum(spark, sf_dir):
+    return tracks.composite(points(spark, sf_dir), ["track", "scan"], "intensity")
+
+
+def area_sum_auc(spark, sf_dir):
+    return tracks.areas(points(spark, sf_dir), ["track"], ["scan", "event_id"], "intensity")
+
+
+def moving_mean_clamped(spark, sf_dir):
+    day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1990-01-01").cast("date"))
+    months = _read(spark, sf_dir, "orders").groupBy("o_orderpriority", F.floor(day / 30).cast("long").alias("m")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    one = months.groupBy("o_orderpriority").agg(F.transform(F.sort_array(F.collect_list(F.struct("m", "n"))), lambda s: s["n"]).alias("v"))
+    smooth = one.select("o_orderpriority", F.posexplode(arrays.moving_mean(F.col("v"), 9)).alias("i", "mean"))
+    return smooth.select("o_orderpriority", F.col("i").cast("long").alias("i"), F.round("mean", 6).alias("mean"))
+
+
+def noise_baseline(spark, sf_dir):
+    found = tracks.noise(points(spark, sf_dir), "track", "intensity", 500.0)
+    return found.select("track", F.round("baseline", 4).alias("baseline"), F.round("noise", 4).alias("noise"))
+
+
+def detrend(spark, sf_dir):
+    daily = points(spark, sf_dir).groupBy("event_type", F.floor(F.col("scan") / 24).cast("long").alias("day")).agg(F.sum("intensity").alias("total"))
+    return tracks.detrended(daily, "event_type", "day", "total").select("event_type", "day", F.round("residual", 3).alias("residual"))
+
+
+def quality_filter(spark, sf_dir):
+    rows = tables.wide(_read(spark, sf_dir, "lineitem"), "l_orderkey", "l_returnflag", ["A", "N", "R"], F.sum(F.col("l_quantity").cast("long")))
+    counted = tables.detection_counts(rows, ["A", "N", "R"])
+    return counted.where("detection_counts >= 2").select("l_orderkey", *[F.col(c).alias(f"sample_{c.lower()}") for c in "ANR"], "detection_counts")
+
+
+def top_n_peaks(spark, sf_dir):
+    rows = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return tables.top_n(rows, ["l_orderkey"], [F.desc("l_extendedprice"), "l_linenumber"], 3)
+
+
+def jaccard_samples(spark, sf_dir):
+    rows = _read(spark, sf_dir, "lineitem").where("l_partkey % 5 = 0").select((F.col("l_suppkey") % 20).alias("sample"), "l_partkey")
+    return tables.jaccard(rows, "sample", "l_partkey").withColumn("jaccard", F.round("jaccard", 8))
+
+
+def pairwise_corr(spark, sf_dir):
+    daily = points(spark, sf_dir).groupBy("event_type", F.floor(F.col("scan") / 24).cast("long").alias("day")).agg(F.sum("intensity").alias("total"))
+    return tables.correlations(daily, "day", "event_type", "total").withColumn("r", F.round("r", 6))
+
+
+def coelution_clusters(spark, sf_dir):
+    found = tracks.coelution(points(spark, sf_dir), "event_id", "scan", 2, ("track",))
+    return found.select("event_id", "track", F.col("cluster").cast("long").alias("cluster"), "size")
+
+
+KNOTS = [(0.0, 800.0), (100.0, 900.0), (250.0, 1100.0), (400.0, 1250.0), (700.0, 1700.0)]
+
+
+def interp_clamped(spark, sf_dir):
+    rows = points(spark, sf_dir).select("event_id", F.col("scan").cast("double").alias("scan"))
+    return tracks.interpolate(rows, "scan", KNOTS, "index").select("event_id", F.round("index", 6).alias("index"))
+
+
+def lib_cosine(spark, sf_dir):
+    v = _read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.abs(x.cast("double"))).alias("v"))
+    library = v.where("vec_id < 5").select(F.col("vec_id").alias("lib_id"), F.col("v").alias("w"))
+    both = v.crossJoin(F.broadcast(library))  # five rows
+    return both.select("vec_id", "lib_id", F.round(arrays.cosine(F.col("v"), F.col("w")), 6).alias("cosine"), F.round(arrays.entropy_similarity(F.col("v"), F.col("w")), 6).alias("entropy"))
+
+
+def tic(spark, sf_dir):
+    rows = points(spark, sf_dir)
+    return rows.groupBy("scan").agg(F.sum("intensity").alias("tic"), F.max("intensity").alias("base_peak"))
+
+
+def orphans(spark, sf_dir):
+    used = _read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return bands.orphans(_read(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), used, "c_custkey")
+
+
+def theoretical_ions(spark, sf_dir):
+    rows = _read(spark, sf_dir, "part").select("p_partkey", F.explode(mass.ions(F.col("p_retailprice"), "pos")).alias("x"))
+    return rows.select("p_partkey", "x.ion", F.round("x.ion_mz", 5).alias("ion_mz"))
+
+
+def _ion_values() -> str:
+    return ", ".join(f"('{k}', {mass.PROTON}e0, {d}e0)" for k, d in mass.POSITIVE_ADDUCTS.items())
+
+
+def _knots_sql() -> str:
+    steps = " ".join(f"WHEN scan <= {x1}e0 THEN {y0}e0 + (scan - {x0}e0) * {(y1 - y0) / (x1 - x0)!r}e0" for (x0, y0), (x1, y1) in zip(KNOTS, KNOTS[1:]))
+    return f"CASE WHEN scan <= {KNOTS[0][0]}e0 THEN {KNOTS[0][1]}e0 {steps} ELSE {KNOTS[-1][1]}e0 END"
+
+
+_DAILY = f"{POINTS}, daily AS (SELECT event_type, CAST(floor(scan / 24e0) AS BIGINT) AS day, CAST(sum(intensity) AS BIGINT) AS total FROM points GROUP BY 1, 2)"
+
+ORACLE_SQL = {
+    "roi_islands": f"WITH {REGIONS} SELECT * FROM regions",
+    "feature_table": f"WITH {REGIONS} SELECT 'F' || track || '_' || region AS id_number, left_base, right_base, apex, height, peak_area, n_scans FROM regions WHERE n_scans > 1 AND height > 1000",
+    "mz_selectivity": """WITH p AS (SELECT DISTINCT p_retailprice AS mz FROM part),
+      d AS (SELECT mz, 1e6 * (mz - lag(mz) OVER w) / lag(mz) OVER w AS a, 1e6 * (mz - lag(mz, 2) OVER w) / lag(mz, 2) OVER w AS b,
+        1e6 * (lead(mz) OVER w - mz) / mz AS c, 1e6 * (lead(mz, 2) OVER w - mz) / mz AS d FROM p WINDOW w AS (ORDER BY mz)),
+      f AS (SELECT mz, coalesce(CASE WHEN a > 100 THEN 1e0 WHEN a < 0.1e0 THEN 0e0 ELSE 1e0 - exp(-a / 5e0) END, 1e0) * 1e0 AS fa, b, c, d, a FROM d)
+      SELECT mz, round((CASE WHEN a IS NULL OR a > 100 THEN 1e0 WHEN a < 0.1e0 THEN 0e0 ELSE 1e0 - exp(-a / 5e0) END) * (CASE WHEN b IS NULL OR b > 100 THEN 1e0 WHEN b < 0.1e0 THEN 0e0 ELSE 1e0 - exp(-b / 5e0) END)
+        * (CASE WHEN c IS NULL OR c > 100 THEN 1e0 WHEN c < 0.1e0 THEN 0e0 ELSE 1e0 - exp(-c / 5e0) END) * (CASE WHEN d IS NULL OR d > 100 THEN 1e0 WHEN d < 0.1e0 THEN 0e0 ELSE 1e0 - exp(-d / 5e0) END), 8) AS selectivity FROM f""",
+    "paired_mapping": """WITH u AS (SELECT c_acctbal AS v, 1 AS side, c_custkey AS k FROM customer WHERE c_acctbal > 100 UNION ALL SELECT s_acctbal, 2, s_suppkey FROM supplier WHERE s_acctbal > 100),
+      n AS (SELECT *, lag(v) OVER w AS pv, lag(side) OVER w AS ps, lag(k) OVER w AS pk, lead(v) OVER w AS nv FROM u WINDOW w AS (ORDER BY v, side, k)),
+      f AS (SELECT * FROM n WHERE side <> ps AND v - pv < v * (300e0 * 1e-6) AND coalesce(nv, 999999e0) - v > v * (300e0 * 1e-6))
+      SELECT CASE WHEN side = 2 THEN pk ELSE k END AS left_key, CASE WHEN side = 2 THEN k ELSE pk END AS right_key, CASE WHEN side = 2 THEN pv ELSE v END AS left_value, CASE WHEN side = 2 THEN v ELSE pv END AS right_value FROM f""",
+    "band_join_all": "SELECT p_partkey, c_custkey FROM part JOIN customer ON c_acctbal > 0 AND abs(p_retailprice - c_acctbal) < p_retailprice * (50e0 * 1e-6)",
+    "match_features": f"WITH {PAIRS} SELECT left_id, right_id FROM pairs",
+    "mutual_best_match": f"""WITH {PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY apart, right_id) AS x, row_number() OVER (PARTITION BY right_id ORDER BY apart, left_id) AS y FROM pairs)
+      SELECT left_id, right_id, apart FROM r WHERE x = 1 AND y = 1""",
+    "nearest_pairs": """WITH p AS (SELECT p_partkey AS k, CAST(floor(p_retailprice * 100 + 0.5e0) AS BIGINT) AS v FROM part),
+      j AS (SELECT a.k AS left_key, b.k AS right_key, row_number() OVER (PARTITION BY a.k ORDER BY abs(a.v + 100 - b.v), b.k) AS r FROM p a JOIN p b ON abs(a.v + 100 - b.v) < 20)
+      SELECT left_key, right_key FROM j WHERE r = 1""",
+    "mz_islands": """WITH c AS (SELECT CAST(floor(l_extendedprice) AS BIGINT) AS key FROM lineitem GROUP BY 1 HAVING count(*) >= 2),
+      g AS (SELECT key, key - lag(key) OVER (ORDER BY key) AS gap FROM c),
+      i AS (SELECT key, sum(CASE WHEN gap IS NULL OR gap = 1 OR gap < key * (5e0 * 1e-6) THEN 0 ELSE 1 END) OVER (ORDER BY key ROWS UNBOUNDED PRECEDING) AS bin FROM g)
+      SELECT CAST(bin AS BIGINT) AS bin, count(*) AS n, min(l_extendedprice) AS low, max(l_extendedprice) AS high FROM lineitem JOIN i ON key = CAST(floor(l_extendedprice) AS BIGINT) GROUP BY 1""",
+    "consensus_mz": f"WITH {POINTS} SELECT track, round(0.5e0 * (median(value) + arg_max(value, intensity * 10000000 - event_id)), 6) AS mz, max(intensity) AS height, count(*) AS n_points FROM points GROUP BY track",
+    "composite_sum": f"WITH {POINTS} SELECT track, scan, CAST(sum(intensity) AS BIGINT) AS intensity FROM points GROUP BY 1, 2",
+    "area_sum_auc": f"""WITH {POINTS}, m AS (SELECT *, greatest(intensity, coalesce(lag(intensity) OVER (PARTITION BY track ORDER BY scan, event_id), 0)) AS m FROM points)
+      SELECT track, CAST(sum(intensity) AS BIGINT) AS area_sum, CAST(sum(m) AS BIGINT) AS area_auc FROM m GROUP BY track""",
+    "moving_mean_clamped": """WITH c AS (SELECT o_orderpriority, CAST(floor(date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) / 30e0) AS BIGINT) AS m, CAST(count(*) AS DOUBLE) AS n FROM orders GROUP BY 1, 2),
+      r AS (SELECT o_orderpriority, n, row_number() OVER (PARTITION BY o_orderpriority ORDER BY m) - 1 AS i, count(*) OVER (PARTITION BY o_orderpriority) AS k FROM c),
+      w AS (SELECT r.o_orderpriority, r.i, greatest(0, least(r.k - 1, r.i - 4 + o.d)) AS j FROM r, (SELECT unnest(range(9)) AS d) o)
+      SELECT w.o_orderpriority, w.i, round(sum(r.n) / 9e0, 6) AS mean FROM w JOIN r ON r.o_orderpriority = w.o_orderpriority AND r.i = w.j GROUP BY 1, 2""",
+    "noise_baseline": f"""WITH {POINTS}, q AS (SELECT track, quantile_cont(intensity, 0.25) AS q FROM points GROUP BY track)
+      SELECT p.track, round(avg(intensity), 4) AS baseline, round(stddev_pop(intensity), 4) AS noise FROM points p JOIN q ON p.track = q.track WHERE intensity < q + 500 GROUP BY p.track""",
+    "detrend": f"""WITH {_DAILY}, l AS (SELECT event_type, regr_slope(total, day) AS s, regr_intercept(total, day) AS c FROM daily GROUP BY 1)
+      SELECT d.event_type, day, round(total - s * day - c, 3) AS residual FROM daily d JOIN l ON d.event_type = l.event_type""",
+    "quality_filter": """WITH w AS (SELECT l_orderkey, coalesce(CAST(sum(trunc(l_quantity)) FILTER (l_returnflag = 'A') AS BIGINT), 0) AS sample_a, coalesce(CAST(sum(trunc(l_quantity)) FILTER (l_returnflag = 'N') AS BIGINT), 0) AS sample_n,
+      coalesce(CAST(sum(trunc(l_quantity)) FILTER (l_returnflag = 'R') AS BIGINT), 0) AS sample_r FROM lineitem GROUP BY 1)
+      SELECT *, CAST(sample_a > 1 AS INT) + CAST(sample_n > 1 AS INT) + CAST(sample_r > 1 AS INT) AS detection_counts FROM w WHERE CAST(sample_a > 1 AS INT) + CAST(sample_n > 1 AS INT) + CAST(sample_r > 1 AS INT) >= 2""",
+    "top_n_peaks": "SELECT l_orderkey, l_linenumber, l_extendedprice, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS INT) AS rank FROM lineitem QUALIFY rank <= 3",
+    "jaccard_samples": """WITH s AS (SELECT DISTINCT l_suppkey % 20 AS sample, l_partkey FROM lineitem WHERE l_partkey % 5 = 0), n AS (SELECT sample, count(*) AS n FROM s GROUP BY 1),
+      j AS (SELECT x.sample AS a, y.sample AS b, count(*) AS k FROM s x JOIN s y ON x.l_partkey = y.l_partkey AND x.sample < y.sample GROUP BY 1, 2)
+      SELECT a, b, round(k / CAST(p.n + q.n - k AS DOUBLE), 8) AS jaccard FROM j JOIN n p ON p.sample = a JOIN n q ON q.sample = b""",
+    "pairwise_corr": f"WITH {_DAILY} SELECT x.event_type AS a, y.event_type AS b, round(corr(x.total, y.total), 6) AS r FROM daily x JOIN daily y ON x.day = y.day AND x.event_type < y.event_type GROUP BY 1, 2",
+    "coelution_clusters": f"""WITH {POINTS}, m AS (SELECT event_id, track, scan, CASE WHEN scan - lag(scan) OVER w >= 2 THEN 1 ELSE 0 END AS fresh FROM points WINDOW w AS (PARTITION BY track ORDER BY scan, event_id)),
+      r AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY track ORDER BY scan, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cluster FROM m),
+      c AS (SELECT event_id, track, cluster, count(*) OVER (PARTITION BY track, cluster) AS size FROM r) SELECT * FROM c WHERE size > 1""",
+    "interp_clamped": f"WITH {POINTS} SELECT event_id, round({_knots_sql()}, 6) AS index FROM points",
+    "tic": f"WITH {POINTS} SELECT scan, CAST(sum(intensity) AS BIGINT) AS tic, max(intensity) AS base_peak FROM points GROUP BY scan",
+    "orphans": "SELECT c_custkey, c_acctbal FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "theoretical_ions": f"SELECT p_partkey, ion, round(p_retailprice + proton + d, 5) AS ion_mz FROM part, (VALUES {_ion_values()}) t(ion, proton, d)",
+}
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        feature_table, roi_islands, mz_selectivity, paired_mapping, band_join_all, match_features, mutual_best_match, nearest_pairs, mz_islands, consensus_mz, composite_sum,
+        area_sum_auc, moving_mean_clamped, noise_baseline, detrend, quality_filter, top_n_peaks, jaccard_samples, pairwise_corr, coelution_clusters, interp_clamped, lib_cosine, tic, orphans, theoretical_ions,
+    )
+}
