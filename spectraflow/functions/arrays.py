@@ -64,12 +64,16 @@ def cosine(a: Column, b: Column) -> Column:
 def entropy_similarity(a: Column, b: Column) -> Column:
     """1 - Jensen-Shannon divergence over ln 2 of two aligned vectors, over cells that both have, each normalised to 1."""
     both = F.filter(F.zip_with(a, b, lambda p, q: F.struct(p.alias("p"), q.alias("q"))), lambda s: (s["p"] > 0) & (s["q"] > 0))
-    total = lambda k: F.aggregate(both, F.lit(0.0), lambda acc, s: acc + s[k])
+    total = lambda cells, k: F.aggregate(cells, F.lit(0.0), lambda acc, s: acc + s[k])
     part = lambda x, m: x * F.log(x / m)
 
-    def cell(s: Column) -> Column:
-        p, q = s["p"] / total("p"), s["q"] / total("q")
-        return (part(p, (p + q) / 2) + part(q, (p + q) / 2)) / 2
+    def similarity(t: Column) -> Column:
+        def cell(acc: Column, s: Column) -> Column:
+            p, q = s["p"] / t["p"], s["q"] / t["q"]
+            return acc + (part(p, (p + q) / 2) + part(q, (p + q) / 2)) / 2
 
-    divergence = F.aggregate(F.transform(both, cell), F.lit(0.0), lambda acc, v: acc + v)
-    return F.when(F.size(both) == 0, F.lit(0.0)).otherwise(1 - divergence / F.log(F.lit(2.0)))
+        return 1 - F.aggregate(t["cells"], F.lit(0.0), cell) / F.log(F.lit(2.0))
+
+    # bound step by step, so that cells and totals are made once
+    bound = F.transform(F.array(both), lambda b: F.struct(b.alias("cells"), total(b, "p").alias("p"), total(b, "q").alias("q")))
+    return F.get(F.transform(bound, lambda t: F.when(F.size(t["cells"]) == 0, F.lit(0.0)).otherwise(similarity(t))), F.lit(0))
