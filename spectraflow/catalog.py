@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spectraflow.functions import arrays, mass
-from spectraflow.operators import bands, islands, pairing, tables, tracks
+from spectraflow.operators import bands, islands, pairing, peaks, tables, tracks
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -167,6 +167,13 @@ def lib_cosine(spark, sf_dir):
     return both.select("vec_id", "lib_id", F.round(arrays.cosine(F.col("v"), F.col("w")), 6).alias("cosine"), F.round(arrays.entropy_similarity(F.col("v"), F.col("w")), 6).alias("entropy"))
 
 
+def detect_peaks(spark, sf_dir):
+    sums = tracks.composite(points(spark, sf_dir), ["track", "scan"], "intensity")
+    cells = F.map_from_entries(F.collect_list(F.struct("scan", F.col("intensity").cast("double"))))
+    vectors = sums.groupBy("track").agg(arrays.dense(cells, 24 * 31).alias("v"))
+    return peaks.detect(vectors, "track", "v").withColumns({c: F.round(c, 4) for c in ("width", "area", "goodness", "sigma")})
+
+
 def tic(spark, sf_dir):
     rows = points(spark, sf_dir)
     return rows.groupBy("scan").agg(F.sum("intensity").alias("tic"), F.max("intensity").alias("base_peak"))
@@ -250,6 +257,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         feature_table, roi_islands, mz_selectivity, paired_mapping, band_join_all, match_features, mutual_best_match, nearest_pairs, mz_islands, consensus_mz, composite_sum,
-        area_sum_auc, moving_mean_clamped, noise_baseline, detrend, quality_filter, top_n_peaks, jaccard_samples, pairwise_corr, coelution_clusters, interp_clamped, lib_cosine, tic, orphans, theoretical_ions,
+        area_sum_auc, moving_mean_clamped, noise_baseline, detrend, quality_filter, top_n_peaks, jaccard_samples, pairwise_corr, coelution_clusters, interp_clamped, lib_cosine, detect_peaks, tic, orphans, theoretical_ions,
     )
 }
