@@ -286,6 +286,28 @@ def test_links_across_boundaries(spark, bands, shard):
     assert edges.count() < 12 * len(values)
 
 
+def test_wide_radius(spark):
+    """Pairs 0 to 8 bits apart meet in one of the random trees; a cloud larger than a block stays one; others stay alone."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, 900, dtype=np.uint64)
+    flips = lambda v, n: v ^ np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, n, replace=False).astype(np.uint64))
+    twins = [(int(v), int(flips(v, n))) for n, v in zip([1, 2, 4, 6, 8] * 80, base)]
+    cloud = [int(flips(base[-1], 4)) for _ in range(1500)]
+    values = np.unique(np.array([*map(int, base), *[t for _, t in twins], *cloud], dtype=np.uint64))
+    table = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long")
+    edges = simhash.links(table, 10, target=60, trees=48)
+    found = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
+
+    def root(v):
+        signed = int(np.uint64(v).view(np.int64))
+        return found.get(signed, signed)
+
+    assert sum(root(a) == root(b) for a, b in twins) >= 0.99 * len(twins)
+    assert len({root(v) for v in cloud}) == 1
+    assert len({root(v) for v in base[400:]}) == 500
+    assert edges.count() < 51 * 2 * len(values)
+
+
 def test_toxicity(spark, docs, empty):
     rng = random.Random(2)
     plain = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
