@@ -183,9 +183,9 @@ def shard_links(values: np.ndarray, stored: np.ndarray, asks: np.ndarray, radius
     left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
     for _, home, look in route(tree, masked, reach):
         home, look = home[stored[home]], look[asks[look]]
-        for at in range(0, len(home), 1024):
-            for to in range(0, len(look), 4096):
-                block, other = home[at : at + 1024], look[to : to + 4096]
+        for at in range(0, len(home), 512):
+            for to in range(0, len(look), 2048):
+                block, other = home[at : at + 512], look[to : to + 2048]
                 a, b = np.nonzero(np.bitwise_count(values[block][:, None] ^ values[other][None, :]) <= radius)
                 keep = block[a] != other[b]
                 if not keep.any():
@@ -228,12 +228,12 @@ def links(distinct: DataFrame, radius: int = 2, bands: int = 3, target: int = TA
         own = json.loads(packed.value)
         for batch in batches:
             values = batch["fp"].to_numpy(dtype=np.int64).view(np.uint64)
-            out = []
             for band, (tree, mask) in enumerate(zip(own, masks)):
+                out = []
                 for name, home, look in route(tree, values & np.uint64(mask), reach):
                     out.append(pd.DataFrame({"shard": f"{band}:{name}", "band": np.int32(band), "fp": values[look].view(np.int64), "stored": np.isin(look, home)}))
-            if out:
-                yield pd.concat(out, ignore_index=True)
+                if out:
+                    yield pd.concat(out, ignore_index=True)
 
     routed = materialise(distinct.select("fp").mapInPandas(send, "shard string, band int, fp long, stored boolean"), "simhash-shards")
     sizes = routed.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / F.lit(shard)).cast("int").alias("parts")).where("parts > 1")
