@@ -25,8 +25,8 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Fingerprints of texts alike in 0.8 of their five-word shingles are up to about 10 bits apart."""
-    return simhash.one_of_each(docs, radius=10, trees=48)
+    """Texts alike in 0.8 of their five-word shingles have fingerprints up to about 10 bits apart; those are the candidates, whose shingles are compared."""
+    return simhash.one_of_each(docs, verified=True, radius=10, trees=48)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,6 +30,8 @@ from spectraflow.llm.common import materialise
 #: Most fingerprints from which the trees are shaped (every one is then put into them), fingerprints planned for a shard, most
 #: that one task gets from a side, most compared as one cell.
 SAMPLE, TARGET, SHARD, CELL, DEPTH = 1_000_000, 8_000, 100_000, 512, 40
+#: Least Jaccard similarity of two texts' five-word shingles where links are verified, as a fraction.
+ALIKE = (4, 5)
 
 
 def fingerprints(texts: list[str | None], size: int = 3, seed: int = 42, block: int = 100_000) -> np.ndarray:
@@ -199,8 +201,8 @@ def shard_links(values: np.ndarray, stored: np.ndarray, asks: np.ndarray, radius
     return np.concatenate(left), np.concatenate(right)
 
 
-def links(distinct: DataFrame, radius: int = 2, bands: int = 3, target: int = TARGET, shard: int = SHARD, trees: int = 0, bits: int = 14) -> DataFrame:
-    """Edges (a, b) that connect what links at most ``radius`` bits wide connect. ``distinct`` has one row per ``fp``.
+def deal(distinct: DataFrame, radius: int, bands: int, target: int, shard: int, trees: int, bits: int, others: tuple[str, ...] = ()) -> tuple[DataFrame, list[int], int]:
+    """The rows of ``distinct`` (``fp`` and the columns ``others``) as the tasks (shard, i, j) get them, each band's mask, and the reach.
 
     With ``trees``, each band is searched with reach 0, and so are that many
     trees over ``bits`` random bits. Links of less than ``bands`` bits are then
@@ -231,18 +233,25 @@ def links(distinct: DataFrame, radius: int = 2, bands: int = 3, target: int = TA
             for band, (tree, mask) in enumerate(zip(own, masks)):
                 out = []
                 for name, home, look in route(tree, values & np.uint64(mask), reach):
-                    out.append(pd.DataFrame({"shard": f"{band}:{name}", "band": np.int32(band), "fp": values[look].view(np.int64), "stored": np.isin(look, home)}))
+                    out.append(pd.DataFrame({"shard": f"{band}:{name}", "band": np.int32(band), "fp": values[look].view(np.int64), "stored": np.isin(look, home), **{c: batch[c].to_numpy()[look] for c in others}}))
                 if out:
                     yield pd.concat(out, ignore_index=True)
 
-    routed = materialise(distinct.select("fp").mapInPandas(send, "shard string, band int, fp long, stored boolean"), "simhash-shards")
+    kinds = "".join(f", {c} {kind}" for c, kind in distinct.dtypes if c in others)
+    routed = materialise(distinct.select("fp", *others).mapInPandas(send, "shard string, band int, fp long, stored boolean" + kinds), "simhash-shards")
     sizes = routed.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / F.lit(shard)).cast("int").alias("parts")).where("parts > 1")
     dealt = routed.join(F.broadcast(sizes), "shard", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))  # sizes: leaves at most
     own, every = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"), F.sequence(F.lit(0), F.col("parts") - 1)
     one = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("stored").alias("in_shard"), F.lit(True).alias("asks")))
     asks = F.transform(every, lambda i: F.struct(i.alias("i"), own.alias("j"), F.lit(False).alias("in_shard"), F.lit(True).alias("asks")))
     holds = F.transform(F.filter(every, lambda j: F.col("stored")), lambda j: F.struct(own.alias("i"), j.alias("j"), F.lit(True).alias("in_shard"), F.lit(False).alias("asks")))
-    dealt = dealt.withColumn("to", F.explode(F.when(F.col("parts") == 1, one).otherwise(F.concat(asks, holds)))).select("shard", "band", "fp", "to.*")
+    dealt = dealt.withColumn("to", F.explode(F.when(F.col("parts") == 1, one).otherwise(F.concat(asks, holds)))).select("shard", "band", "fp", *others, "to.*")
+    return dealt, masks, reach
+
+
+def links(distinct: DataFrame, radius: int = 2, bands: int = 3, target: int = TARGET, shard: int = SHARD, trees: int = 0, bits: int = 14) -> DataFrame:
+    """Edges (a, b) that connect what links at most ``radius`` bits wide connect. ``distinct`` has one row per ``fp``; see ``deal``."""
+    dealt, masks, reach = deal(distinct, radius, bands, target, shard, trees, bits)
 
     def match(frame: pd.DataFrame) -> pd.DataFrame:
         values = frame["fp"].to_numpy(dtype=np.int64)
@@ -252,6 +261,71 @@ def links(distinct: DataFrame, radius: int = 2, bands: int = 3, target: int = TA
     return dealt.groupBy("shard", "i", "j").applyInPandas(match, "a long, b long")
 
 
+def shingle_sets(texts: list[str | None], size: int = 5, seed: int = 42) -> list[np.ndarray]:
+    """Each text's distinct word shingles as sorted 64-bit hashes, words as in ``fingerprints``; a shorter text is one shingle."""
+    from xxhash import xxh64_intdigest
+
+    out = []
+    for text in texts:
+        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+        shingles = {b" ".join(words[k : k + size]) for k in range(max(1, len(words) - size + 1))} if words else set()
+        out.append(np.unique(np.array([xxh64_intdigest(s, seed) for s in shingles], dtype="<u8")))
+    return out
+
+
+def parities(values: np.ndarray) -> np.ndarray:
+    """512 bits: is an odd number of hashes in each class? Two sets' bits differ in at most as many places as the sets do."""
+    return np.packbits((np.bincount((values & np.uint64(511)).astype(np.int64), minlength=512) & 1).astype(np.uint8))
+
+
+def open_pairs(frame: pd.DataFrame, radius: int, masks: list[int], cell: int = CELL) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of this shard's pairs at most ``radius`` bits apart that are not in one group yet and may be alike: all of them, not a forest.
+
+    Reach is 0. Sizes and parities only rule out what can't be alike. A pair
+    that also agrees in an earlier tree's bits is left to that tree.
+    """
+    values, key, root, size = (frame[c].to_numpy(dtype=np.int64) for c in ("fp", "key", "root", "size"))
+    values, band = values.view(np.uint64), int(frame["band"].iloc[0])
+    parity = np.frombuffer(b"".join(frame["parity"]), dtype=np.uint64).reshape(-1, 8)
+    stored, asks = frame["in_shard"].to_numpy(dtype=bool), frame["asks"].to_numpy(dtype=bool)
+    masked = values & np.uint64(masks[band])
+    p, q = ALIKE
+    left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for _, home, look in route(build_tree(masked, cell, np.random.default_rng(len(values))), masked, 0):
+        home, look = home[stored[home]], look[asks[look]]
+        for at in range(0, len(home), 512):
+            for to in range(0, len(look), 512):
+                a, b = np.nonzero(np.bitwise_count(values[home[at : at + 512]][:, None] ^ values[look[to : to + 512]][None, :]) <= radius)
+                a, b = home[at : at + 512][a], look[to : to + 512][b]
+                keep = (key[a] < key[b]) & (root[a] != root[b]) & (q * np.minimum(size[a], size[b]) >= p * np.maximum(size[a], size[b]))
+                a, b = a[keep], b[keep]
+                keep = (q + p) * np.bitwise_count(parity[a] ^ parity[b]).sum(axis=1, dtype=np.int64) <= (q - p) * (size[a] + size[b])
+                for mask in masks[:band]:
+                    keep &= (values[a] ^ values[b]) & np.uint64(mask) != 0
+                left.append(key[a[keep]])
+                right.append(key[b[keep]])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of keys whose shingle sets have a Jaccard similarity of ``ALIKE`` or more."""
+    p, q = ALIKE
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch["x"], batch["y"]):
+                x, y = np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8")
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(q * shared >= p * (len(x) + len(y) - shared))
+            yield batch.loc[np.array(good, dtype=bool), ["a", "b"]]
+
+    sized = sets.select("key", "size")
+    near = pairs.join(sized.toDF("a", "m"), "a").join(sized.toDF("b", "n"), "b").where(q * F.least("m", "n") >= p * F.greatest("m", "n")).select("a", "b")
+    both = near.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
+    return both.mapInPandas(run, "a long, b long")
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root) of every node with an edge; root is the component's smallest node.
 
@@ -295,7 +369,68 @@ def near_duplicates(documents: DataFrame, radius: int = 2, bands: int = 3, trees
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(documents: DataFrame, **options) -> DataFrame:
+def verified_duplicates(documents: DataFrame, radius: int = 10, bands: int = 3, trees: int = 48, bits: int = 14) -> DataFrame:
+    """Like ``near_duplicates``, but links are only candidates: two texts are joined if their five-word shingles are alike, too.
+
+    Texts with one shingle set are one node, its ``key``. First the links'
+    spanning forest is verified, by one key a fingerprint. A failed edge of it
+    may stand for others that hold, so the candidates are then searched again
+    for all pairs that are still in two groups, and these are verified as well:
+    the groups are those of all candidate pairs. Pairs that sizes or parities
+    rule out, or that are in one group already, aren't made.
+    """
+    if not trees:
+        raise ValueError("open_pairs needs reach 0, so trees")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("hash", F.xxhash64("text"))
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "hash": batch["hash"], "fp": fingerprints(batch["text"].tolist()).view(np.int64)})
+
+    def shingle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from xxhash import xxh64_intdigest
+
+        for batch in batches:
+            sets = shingle_sets(batch["text"].tolist())
+            keys = np.array([xxh64_intdigest(s.tobytes(), 42) for s in sets], dtype=np.uint64).view(np.int64)
+            yield pd.DataFrame({"hash": batch["hash"], "fp": batch["fp"], "key": keys, "size": [len(s) for s in sets], "parity": [parities(s).tobytes() for s in sets], "shingles": [s.tobytes() for s in sets]})
+
+    marked = materialise(rows.mapInPandas(mark, "doc_id long, hash long, fp long"), "simhash")
+    ident = F.coalesce("doc_id", "hash")  # one row of each text is read again
+    texts = materialise(marked.groupBy("fp", "hash").agg(F.min("doc_id").alias("first_id"), F.min(ident).alias("id")), "simhash-texts")
+    edges = materialise(links(texts.select("fp").distinct(), radius, bands, trees=trees, bits=bits).distinct(), "simhash-links")
+    several = texts.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp")
+    wanted = edges.select(F.col("a").alias("fp")).unionByName(edges.select(F.col("b").alias("fp"))).unionByName(several).distinct()
+    found = rows.select(ident.alias("id"), "hash", "text").join(texts.join(wanted, "fp").select("id", "hash", "fp"), ["id", "hash"])
+    known = materialise(found.mapInPandas(shingle, "hash long, fp long, key long, size int, parity binary, shingles binary"), "simhash-shingles")
+    keys = known.select("hash", "key").distinct()
+    sets = materialise(known.dropDuplicates(["key"]).select("key", "size", "parity", "shingles"), "simhash-sets")
+    members = materialise(known.select("fp", "key").distinct(), "simhash-members")
+
+    first = members.groupBy("fp").agg(F.min("key").alias("key"))
+    across = edges.join(first.toDF("a", "ka"), "a").join(first.toDF("b", "kb"), "b").select("ka", "kb")
+    within = members.join(first.withColumnRenamed("key", "ka"), "fp").select("ka", F.col("key").alias("kb"))
+    tried = across.unionByName(within).where("ka != kb").select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).distinct()
+    sure = materialise(alike(tried, sets), "simhash-sure")
+    roots = components(sure, "simhash-components")
+    grouped = members.join(sets.select("key", "size", "parity"), "key").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    dealt, masks, _ = deal(materialise(grouped, "simhash-grouped"), radius, bands, TARGET, SHARD, trees, bits, ("key", "root", "size", "parity"))
+
+    def match(frame: pd.DataFrame) -> pd.DataFrame:
+        a, b = open_pairs(frame, radius, masks)
+        return pd.DataFrame({"a": a, "b": b})
+
+    pairs = materialise(dealt.groupBy("shard", "i", "j").applyInPandas(match, "a long, b long").distinct(), "simhash-pairs")
+    # groups so far take part as stars, so only the new pairs add edges
+    roots = components(roots.toDF("a", "b").unionByName(alike(pairs, sets)), "simhash-components").withColumnRenamed("node", "key")
+    classes = texts.join(keys, "hash", "left").join(roots, "key", "left").select("hash", "first_id", F.coalesce("root", "key", "hash").alias("root"), F.col("key").isNotNull().alias("keyed"))
+    least = classes.groupBy("root", "keyed").agg(F.min("first_id").alias("component_id"))
+    named = classes.join(least, ["root", "keyed"]).select("hash", "component_id")
+    return marked.join(named, "hash").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(documents: DataFrame, verified: bool = False, **options) -> DataFrame:
     """The documents whose doc_id is their component's; all columns. Rows that repeat a kept doc_id stay, null doc_ids too."""
-    others = near_duplicates(documents, **options).where("doc_id != component_id").select("doc_id").distinct()
+    search = verified_duplicates if verified else near_duplicates
+    others = search(documents, **options).where("doc_id != component_id").select("doc_id").distinct()
     return documents.join(others, "doc_id", "left_anti")
