@@ -162,9 +162,8 @@ def interp_clamped(spark, sf_dir):
 
 def lib_cosine(spark, sf_dir):
     v = _read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.abs(x.cast("double"))).alias("v"))
-    library = v.where("vec_id < 5").select(F.col("vec_id").alias("lib_id"), F.col("v").alias("w"))
-    both = v.crossJoin(F.broadcast(library))  # five rows
-    return both.select("vec_id", "lib_id", F.round(arrays.cosine(F.col("v"), F.col("w")), 6).alias("cosine"), F.round(arrays.entropy_similarity(F.col("v"), F.col("w")), 6).alias("entropy"))
+    found = pairing.vector_similarities(v.where("vec_id % 50 = 0"), v, "vec_id", "v", "lib_id")
+    return found.select("vec_id", "lib_id", F.round("cosine", 6).alias("cosine"), F.round("entropy", 6).alias("entropy"))
 
 
 def detect_peaks(spark, sf_dir):

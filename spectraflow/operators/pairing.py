@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,3 +54,43 @@ def paired_mapping(left: DataFrame, right: DataFrame, value: str, key: str, ppm:
 def mean_ratio(pairs: DataFrame) -> DataFrame:
     """Mean of (right - left) / left; null when nothing is paired."""
     return pairs.agg(F.avg((F.col("right_value") - F.col("left_value")) / F.col("left_value")).alias("ratio"))
+
+
+def vector_similarities(queries: DataFrame, library: DataFrame, key: str, vector: str, other: str, block: int = 512) -> DataFrame:
+    """``key``, ``other`` (the library row's key), ``cosine`` and ``entropy`` of every query with every library row.
+
+    As ``arrays.cosine`` and ``arrays.entropy_similarity``, for vectors of one
+    length without negative cells. Both sides are dealt into blocks of about
+    ``block`` rows by hash, and every two blocks are compared.
+    """
+
+    def blocks(df: DataFrame, k: str, v: str) -> DataFrame:
+        n = max(1, -(-df.count() // block))
+        parts = df.select(F.pmod(F.xxhash64(key, vector), F.lit(n)).alias("part"), F.struct(F.col(key).alias("k"), F.col(vector).alias("v")).alias("row"))
+        return parts.groupBy("part").agg(F.collect_list("row").alias("rows")).select(F.col("rows.k").alias(k), F.col("rows.v").alias(v))
+
+    def matrix(rows) -> np.ndarray:
+        width = max((len(r) for r in rows if r is not None), default=0)
+        return np.array([np.zeros(width) if r is None else r for r in rows], dtype=float).reshape(len(rows), -1)
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for ids, vectors, others, library in batch.itertuples(index=False, name=None):
+                a, b = matrix(vectors), matrix(library)
+                lengths = (b * b).sum(axis=1)
+                found = []
+                for x in a:
+                    norm = np.sqrt((x * x).sum() * lengths)
+                    cosine = np.divide(b @ x, norm, out=np.zeros(len(b)), where=norm > 0)
+                    both = (x > 0) & (b > 0)
+                    p, q = np.where(both, x, 0.0), np.where(both, b, 0.0)
+                    some = both.any(axis=1)
+                    p, q = (s / np.where(some, s.sum(axis=1), 1.0)[:, None] for s in (p, q))
+                    m = np.where(both, (p + q) / 2, 1.0)
+                    p, q = (s * np.log(np.where(both, s, 1.0) / m) for s in (p, q))
+                    found.append((cosine, np.where(some, 1 - (p + q).sum(axis=1) / 2 / np.log(2.0), 0.0)))
+                for i, (cosine, entropy) in zip(ids, found):
+                    yield pd.DataFrame({key: pd.array([i] * len(others), dtype="Int64"), other: pd.array(list(others), dtype="Int64"), "cosine": cosine, "entropy": entropy})
+
+    pairs = blocks(queries, "k", "v").crossJoin(blocks(library, "l", "w"))
+    return pairs.repartition(max(1, pairs.sparkSession.sparkContext.defaultParallelism * 4)).mapInPandas(compare, f"{key} long, {other} long, cosine double, entropy double")
