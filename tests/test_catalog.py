@@ -24,3 +24,15 @@ def test_lib_cosine_searches_the_whole_library(spark, tmp_path):
             parts = [(x / s, y / t) for x, y in cells]
             entropy = 1 - sum(p * math.log(2 * p / (p + q)) + q * math.log(2 * q / (p + q)) for p, q in parts) / 2 / math.log(2) if cells else 0.0
             assert abs(got[i, j][0] - cosine) < 2e-6 and abs(got[i, j][1] - entropy) < 2e-6
+
+
+def test_jaccard_samples_takes_every_part(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = [(int(s), int(p)) for s, p in zip(rng.integers(1, 60, 900), rng.integers(1, 90, 900))]
+    spark.createDataFrame(rows, "l_suppkey long, l_partkey long").repartition(3).write.parquet(f"{tmp_path}/lineitem.parquet")
+    parts = {}
+    for s, p in rows:
+        parts.setdefault(s % 20, set()).add(p)
+    want = {(a, b): round(len(parts[a] & parts[b]) / len(parts[a] | parts[b]), 8) for a in parts for b in parts if a < b and parts[a] & parts[b]}
+    got = {(r["a"], r["b"]): r["jaccard"] for r in catalog.jaccard_samples(spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-8 for k in want)
