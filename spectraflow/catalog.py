@@ -49,8 +49,8 @@ def mz_selectivity(spark, sf_dir):
 
 
 def paired_mapping(spark, sf_dir):
-    a = _read(spark, sf_dir, "customer").where("c_acctbal > 100").select(F.col("c_acctbal").alias("v"), F.col("c_custkey").alias("k"))
-    b = _read(spark, sf_dir, "supplier").where("s_acctbal > 100").select(F.col("s_acctbal").alias("v"), F.col("s_suppkey").alias("k"))
+    a = _read(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_acctbal").alias("v"), F.col("c_custkey").alias("k"))
+    b = _read(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_acctbal").alias("v"), F.col("s_suppkey").alias("k"))
     return pairing.paired_mapping(a, b, "v", "k", 300.0)
 
 

@@ -36,3 +36,10 @@ def test_jaccard_samples_takes_every_part(spark, tmp_path):
     want = {(a, b): round(len(parts[a] & parts[b]) / len(parts[a] | parts[b]), 8) for a in parts for b in parts if a < b and parts[a] & parts[b]}
     got = {(r["a"], r["b"]): r["jaccard"] for r in catalog.jaccard_samples(spark, str(tmp_path)).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-8 for k in want)
+
+
+def test_paired_mapping_takes_every_positive_balance(spark, tmp_path):
+    spark.createDataFrame([(1, 50.0), (2, 0.0), (3, -7.0), (4, 900.0)], "c_custkey long, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(8, 50.01), (9, 900.1), (10, -7.0)], "s_suppkey long, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = {(r["left_key"], r["right_key"]) for r in catalog.paired_mapping(spark, str(tmp_path)).collect()}
+    assert got == {(1, 8), (4, 9)}
