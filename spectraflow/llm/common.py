@@ -16,12 +16,15 @@ WORD_SPACES = " \t\n\x0b\x0c\r"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    A machine-local folder is taken only where that setting is absent, as in
-    local tests, and is then written back to the session.
+    Where that setting is absent, a local session gets a temporary folder,
+    which is written back to it; any other is refused, as its executors could
+    not read such a folder.
     """
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spectraflow-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -44,6 +47,21 @@ def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete the files of tables made by ``materialise`` that nothing reads any more."""
+    for table in tables:
+        for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def batch_of(names: list[str], columns: list):
+    """An Arrow batch of arrays (passed on as they are) and Python or numpy values with their type as (values, type)."""
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array(c[0], type=c[1]) if isinstance(c, tuple) else c for c in columns], names=names)
+
+
 def filesystem(uri: str):
     """(pyarrow filesystem, path) of a URI; any store pyarrow knows."""
     from pyarrow import fs
@@ -92,6 +110,11 @@ def seeded(seed: str, *columns):
     return digest, F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
+def text_digest(text):
+    """MD5 of a text, null for null: tells rows of one doc_id apart, in every engine alike."""
+    return F.md5(text.cast("binary"))
+
+
 def word_count(text):
     """Number of ``[^\\x20\\x09-\\x0D]+`` in a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")

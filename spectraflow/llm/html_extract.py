@@ -1,25 +1,28 @@
 """Main text of web pages, with each site's template taken out.
 
 Subtrees of a page's element tree are hashed; Spark counts on how many pages of
-a host each hash occurs, and those on many are the site's template and are
-deleted. What a page says about its own parts (tags, roles, class names) takes
-out the rest. Paragraphs of an article are never template: articles that are
-published twice, or quote the same passage, keep their text.
+a host, different in what they say, each hash occurs, and those on many are the
+site's template and are deleted. What a page says about its own parts (tags,
+roles, class names) takes out the rest. Copies and mirrors of a page count once,
+a subtree isn't counted on a page of whose text it is over half, and paragraphs
+of an article are never template: articles that are published twice, or quote
+the same passage, keep their text.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 from urllib.parse import urlsplit
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spectraflow.llm.common import materialise
+from spectraflow.llm.common import batch_of, materialise
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|math|iframe|object|textarea|select|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -71,7 +74,12 @@ def _node(tag: str, rest: str) -> Node:
 def parse(html: str | None) -> Node:
     """Element tree of a whole page, however malformed."""
     root = Node("html")
-    stack = [root]
+    stack, open_tags = [root], Counter()
+
+    def close(k: int) -> None:
+        open_tags.subtract(n.tag for n in stack[k:])
+        del stack[k:]
+
     for m in TOKEN.finditer(html or ""):
         tag = m["tag"]
         if tag is None:
@@ -80,93 +88,105 @@ def parse(html: str | None) -> Node:
             continue
         tag = tag.lower()
         if m["end"]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
+            if open_tags[tag] > 0:
+                close(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag))
             continue
         if tag in ("html", "body"):
             continue
-        if tag in BLOCKS:  # a block ends an open paragraph, with whatever is open inside
+        if tag in BLOCKS and open_tags["p"] > 0:  # a block ends an open paragraph, with whatever is open inside
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p":
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag in BLOCKS:
                     break
-        for closed in (CLOSES.get(tag, ()),):
+        if closed := CLOSES.get(tag):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in closed:
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag in SCOPES:
                     break
         node = _node(tag, m["rest"])
         stack[-1].children.append(node)
-        if tag not in VOID and not m["rest"].endswith("/") and len(stack) < 400:
+        if tag not in VOID and not m["rest"].endswith("/"):
             stack.append(node)
+            open_tags[tag] += 1
     return root
 
 
-def hash_subtrees(root: Node) -> set[int]:
-    """Hashes of the subtrees that may be template: tags and white-space-normal text of a block and all below it."""
-    found: set[int] = set()
-
-    def visit(node: Node, inside: bool) -> str:
-        inside = inside or node.main
-        parts = [visit(c, inside) if isinstance(c, Node) else " ".join(c.split()) for c in node.children]
-        whole = f"<{node.tag}>{' '.join(p for p in parts if p)}</>"
+def regions(root: Node) -> list[Node]:
+    """Where a page's main text is: its articles, else its main part, else the whole page."""
+    mains, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if node.main:
+            mains.append(node)
+        if not node.main or node.tag == "main":
+            todo.extend(c for c in reversed(node.children) if isinstance(c, Node) and not c.skip)
+    return [m for m in mains if m.tag == "article"] or mains[:1] or [root]
+
+
+def hash_subtrees(top: Node) -> None:
+    """Give the subtrees that may be template their hash: tags and white-space-normal text of a block and all below it."""
+    order, todo = [], [(top, top.main)]
+    while todo:  # parents before children
+        node, inside = todo.pop()
+        order.append((node, inside))
+        todo.extend((c, inside or c.main) for c in node.children if isinstance(c, Node))
+    whole: dict[int, str] = {}
+    for node, inside in reversed(order):
+        parts = [whole.pop(id(c)) if isinstance(c, Node) else " ".join(c.split()) for c in node.children]
+        text = f"<{node.tag}>{' '.join(p for p in parts if p)}</>"
         can = node.tag in (CONTAINERS if inside else BLOCKS) and not node.main and not node.skip
-        if can and any(p for p in parts):
-            node.hash = int.from_bytes(hashlib.blake2b(whole.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-            found.add(node.hash)
-        return whole if len(whole) < 4096 else hashlib.blake2b(whole.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
-
-    visit(root, False)
-    return found
-
-
-def main_text(root: Node, template: frozenset[int] | set[int] = frozenset()) -> str:
-    """Blocks in page order, one a line: of the articles, else of the main part, else of the whole page."""
-    mains: list[Node] = []
-
-    def seek(node: Node) -> None:
-        for c in node.children:
-            if isinstance(c, Node) and not c.skip:
-                if c.main:
-                    mains.append(c)
-                if not c.main or c.tag == "main":
-                    seek(c)
-
-    seek(root)
-    articles = [m for m in mains if m.tag == "article"]
-    blocks: list[list[str]] = [[]]
-
-    def emit(node: Node, only_headings: bool) -> None:
-        if node.skip or node.hash is not None and node.hash in template:
-            return
-        if node.tag == "header":
-            only_headings = True
-        block = node.tag in BLOCKS
-        if block:
-            blocks.append([])
-        if node.tag in ("br", "wbr"):
-            blocks[-1].append(" ")
-        for c in node.children:
-            if isinstance(c, Node):
-                emit(c, only_headings and node.tag not in HEADINGS)
-            elif not only_headings or node.tag in HEADINGS:
-                blocks[-1].append(c)
-        if block:
-            blocks.append([])
-
-    if mains:
-        for m in articles or mains[:1]:
-            emit(m, False)
-    else:
-        emit(root, False)
-    lines = [" ".join(unescape("".join(b)).split()) for b in blocks]
-    return "\n".join(line for line in lines if line)
+        if can and any(parts):
+            node.hash = int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+        whole[id(node)] = text if len(text) < 4096 else hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
+def blocks_of(root: Node) -> list[tuple[str, list[int]]]:
+    """The blocks of a page's main text in page order, each with the hashes of the subtrees it lies in."""
+    found: list[tuple[list[str], tuple | None]] = [([], None)]  # parts, and the chain (hash, outer chain)
+    for top in regions(root):
+        hash_subtrees(top)
+        todo: list = [(top, False, None)]
+        while todo:
+            node, headings, chain = todo.pop()
+            if node is None:  # a block ends
+                found.append(([], chain))
+            elif isinstance(node, str):
+                found[-1][0].append(node)
+            elif not node.skip:
+                headings = headings or node.tag == "header"
+                outer = chain
+                if node.hash is not None:
+                    chain = (node.hash, chain)
+                if node.tag in BLOCKS:
+                    found.append(([], chain))
+                    todo.append((None, headings, outer))
+                if node.tag in ("br", "wbr"):
+                    found[-1][0].append(" ")
+                silent = headings and node.tag not in HEADINGS
+                todo.extend((c, silent, chain) for c in reversed(node.children) if isinstance(c, Node) or not silent)
+    out = []
+    for parts, chain in found:
+        if parts and (line := " ".join(unescape("".join(parts)).split())):
+            under = []
+            while chain:
+                under.append(chain[0])
+                chain = chain[1]
+            out.append((line, under))
+    return out
+
+
+def counted(blocks: list[tuple[str, list[int]]]) -> list[int]:
+    """The subtrees that hold at most half of the page's text."""
+    held: Counter = Counter()
+    for line, under in blocks:
+        for h in set(under):
+            held[h] += len(line)
+    whole = sum(len(line) for line, _ in blocks)
+    return [h for h, n in held.items() if 2 * n <= whole]
 
 
 def host(url: str | None) -> str:
@@ -176,40 +196,42 @@ def host(url: str | None) -> str:
         return ""
 
 
-def extract(pages: DataFrame, min_pages: int = 10, min_share: float = 0.02) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = 10) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every row.
 
-    A subtree is template if at least ``min_pages`` pages of its host have it
-    and at least ``min_share`` of them. A null or empty page has the text "";
-    pages without a host count together; rows that repeat are extracted each
-    and counted each; an empty table gives an empty one; other columns aren't
-    read. Counts per host and hash are pre-aggregated, so a host may hold any
-    share of all pages.
+    A subtree is template if at least ``min_pages`` pages of its host, and at
+    least the square root of their number, have it beside other text; pages of
+    equal text, rows that repeat or mirrors, count once. It is then deleted
+    from all pages of the host. Pages without a host have no template. A null or
+    empty page has the text ""; an empty table gives an empty one; other columns
+    aren't read. A page is parsed once, and its html never shuffled; counts per
+    host and hash are pre-aggregated, so a host may hold any share of all pages.
     """
     rows = pages.select("page_id", "url", "html").withColumn("__key", F.xxhash64("page_id", "url", "html"))
+    kept = rows.drop("html")
+    fields = "host string, said long, blocks array<struct<line:string,under:array<bigint>>>, hashes array<bigint>"
+    schema = kept.select("*", *(F.lit(None).cast(kind).alias(name) for name, kind in (f.split(maxsplit=1) for f in fields.split(", ")))).schema
+    long, block = pa.int64(), pa.list_(pa.struct([("line", pa.string()), ("under", pa.list_(pa.int64()))]))
 
-    def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(k, host(u), sorted(hash_subtrees(parse(h)))) for k, u, h in zip(batch["__key"], batch["url"], batch["html"])]
-            yield pd.DataFrame(out, columns=["key", "host", "hashes"])
-
-    found = materialise(rows.mapInPandas(candidates, "key long, host string, hashes array<long>"), "subtrees")
-    each = found.select("key", "host", F.explode("hashes").alias("hash"))
-    on_host = found.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+            found = [blocks_of(parse(html)) for html in batch.column("html").to_pylist()]
+            hosts = [host(u) for u in batch.column("url").to_pylist()]
+            said = [int.from_bytes(hashlib.blake2b("\n".join(x for x, _ in f).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for f in found]
+            listed = [[{"line": x.encode("utf-8", "replace").decode(), "under": u} for x, u in f] for f in found]
+            own = [batch.column(c) for c in ("page_id", "url", "__key")]
+            hashes = [counted(f) if h else [] for f, h in zip(found, hosts)]
+            yield batch_of(["page_id", "url", "__key", "host", "said", "blocks", "hashes"], [*own, (hosts, pa.string()), (said, long), (listed, block), (hashes, pa.list_(long))])
+
+    read = materialise(rows.mapInArrow(run, schema), "blocks")
+    hosted = read.where("host != ''")
+    each = hosted.select("host", "said", F.explode("hashes").alias("hash")).distinct()
+    pages_of = hosted.select("host", "said").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     common = each.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
-    common = common.join(on_host, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "hash")
-    removed = materialise(each.join(common, ["host", "hash"]).groupBy("key").agg(F.collect_set("hash").alias("template")), "templates")
-    joined = rows.join(removed.withColumnRenamed("key", "__key"), "__key", "left").select("page_id", "url", "html", "template")
-    schema = joined.select("page_id", "url", F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = []
-            for html, template in zip(batch["html"], batch["template"]):
-                root = parse(html)
-                if template is not None and len(template):
-                    hash_subtrees(root)
-                texts.append(main_text(root, frozenset(template) if template is not None else frozenset()))
-            yield batch[["page_id", "url"]].assign(text=texts, n_chars=[len(t) for t in texts])
-
-    return joined.mapInPandas(run, schema)
+    common = common.join(pages_of, "host").where(F.col("n") * F.col("n") >= F.col("pages")).select("host", "hash")
+    lies = hosted.select("__key", "host", F.explode(F.array_distinct(F.flatten("blocks.under"))).alias("hash"))
+    removed = lies.join(common, ["host", "hash"]).groupBy("__key").agg(F.collect_set("hash").alias("template"))
+    joined = read.join(materialise(removed, "templates"), "__key", "left")
+    stays = lambda b: ~F.coalesce(F.arrays_overlap(b["under"], F.col("template")), F.lit(False))
+    text = F.array_join(F.transform(F.filter("blocks", stays), lambda b: b["line"]), "\n")
+    return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))

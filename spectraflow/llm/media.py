@@ -16,13 +16,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spectraflow.llm.common import filesystem, fresh_dir, materialise, write_bytes
+from spectraflow.llm.common import batch_of, filesystem, fresh_dir, materialise, write_bytes
 
 WIDTH = 192
 HEADER_BYTES = 33  # signature and IHDR
+#: Digests that a task remembers, some 60 MB.
+REMEMBERED = 200_000
 SIGNATURE = b"\x89PNG\r\n\x1a\n"  # fixed value of the format
 STORED = "doc_id long, n_bytes long, digest string, shard string, offset long, length long"
 
@@ -69,37 +72,44 @@ def from_png(data: bytes) -> bytes:
 def store(documents: DataFrame, folder: str, shard_bytes: int = 32 << 20) -> DataFrame:
     """Write the payloads of all texts; one row per input row (STORED), materialised.
 
-    A task stores a digest once, in shards of about ``shard_bytes``; a shard
-    holds a payload larger than that alone. Of copies stored by several tasks
+    A task stores a digest once while it remembers it (``REMEMBERED`` digests,
+    then it starts anew), in shards of about ``shard_bytes``; a shard
+    holds a payload larger than that alone. Of copies stored more than once
     every row names the same one, the first by shard and offset. A null text is
     an empty one, stored as 192 blanks. Shard names are new for every attempt.
+    Repeated rows give a row each; an empty table gives an empty one.
     """
+    names = [c.split()[0] for c in STORED.split(", ")]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         placed: dict[bytes, tuple[str, int, int]] = {}
         parts: list[bytes] = []
         used, shard = 0, f"{folder}/{uuid.uuid4().hex}.tar"
         for batch in batches:
             rows = []
-            for doc, text in zip(batch["doc_id"], batch["text"]):
+            for text in batch.column("text").to_pylist():
                 n, samples = payload(text)
                 digest = hashlib.sha256(samples)
-                if digest.digest() not in placed:
+                place = placed.get(digest.digest())
+                if place is None:
                     media = to_png(samples)
                     info = tarfile.TarInfo(digest.hexdigest() + ".png")
                     info.size = len(media)
                     parts += [info.tobuf(tarfile.USTAR_FORMAT), media, bytes(-len(media) % 512)]
-                    placed[digest.digest()] = (shard, used + 512, len(media))
+                    if len(placed) >= REMEMBERED:
+                        placed.clear()
+                    place = placed[digest.digest()] = (shard, used + 512, len(media))
                     used += sum(map(len, parts[-3:]))
-                rows.append((None if pd.isna(doc) else int(doc), n, digest.hexdigest(), *placed[digest.digest()]))
+                rows.append((n, digest.hexdigest(), *place))
                 if used >= shard_bytes:
                     write_bytes(shard, [*parts, bytes(1024)])
                     parts, used, shard = [], 0, f"{folder}/{uuid.uuid4().hex}.tar"
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in STORED.split(", ")]).astype({"doc_id": "Int64"})
+            yield batch_of(names, [batch.column("doc_id"), *((list(c), k) for c, k in zip(zip(*rows) if rows else [[]] * 5, kinds))])
         if parts:
             write_bytes(shard, [*parts, bytes(1024)])
 
-    return materialise(documents.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, STORED), "media-rows")
+    return materialise(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, STORED), "media-rows")
 
 
 def catalogue(stored: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spectraflow.llm.common import before, seeded, word_count
+from spectraflow.llm.common import before, materialise, seeded, text_digest, word_count
 
 
 def rotating_schedule(rank: Column) -> Column:
@@ -75,24 +75,18 @@ def source_targets(sizes: DataFrame, schedule=rotating_schedule, max_repeats: in
     return table.select("source", "source_size", target.alias("target"), "segments")
 
 
-def plan(documents: DataFrame, seed: str = "mix", schedule=rotating_schedule, max_repeats: int = 3, slices: int = 256, whole: bool = False) -> DataFrame:
-    """One row per input row, with all its columns, size, source_size, target, taken and ``occurrences``.
+def sized(documents: DataFrame, carried: list, seed: str) -> DataFrame:
+    """What a plan needs of each row (doc_id, source, size and its place in the seeded order) and the columns ``carried``."""
+    digest, fraction = seeded(seed, F.col("doc_id"), text_digest(F.col("text")))
+    key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
+    return documents.select(*carried, "doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("__key"), digest.alias("__digest"), fraction.alias("__fraction"))
 
-    An occurrence has epoch, words and position. A source takes its rounded
-    target exactly: full passes, then one over its first documents, whose last
-    is cut; with ``whole`` that one is taken or left whole, whichever is nearer.
-    Null and empty texts have size 0 and one occurrence per full pass; a source
-    without words has target 0. Repeated rows count each; an empty table gives
-    an empty one; columns of the added names are replaced.
-    """
-    kept = documents.drop("size", "source_size", "target", "taken", "occurrences", "segments")
-    digest, fraction = seeded(seed, F.col("doc_id"))
-    sized = kept.withColumn("size", word_count(F.col("text"))).withColumn("__key", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")))
-    sized = sized.withColumn("__digest", digest).withColumn("__fraction", fraction)
-    targets = source_targets(sized.select("source", "size"), schedule, max_repeats)
+
+def planned(rows: DataFrame, schedule=rotating_schedule, max_repeats: int = 3, slices: int = 256, whole: bool = False) -> DataFrame:
+    """Rows of ``sized`` with source_size, target, taken and ``occurrences``; see ``plan``."""
+    targets = source_targets(rows.select("source", "size"), schedule, max_repeats)
     targets = targets.withColumn("__key", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))).drop("source")
-    order = ["__digest", "doc_id", "size", F.xxhash64("text")]
-    placed = before(sized, ["__key"], order, F.col("__fraction"), slices, F.col("size")).join(targets, "__key")
+    placed = before(rows, ["__key"], ["__digest", "doc_id"], F.col("__fraction"), slices, F.col("size")).join(targets, "__key")
 
     words = F.floor(F.col("target") + 0.5)
     passes = F.when(F.col("source_size") > 0, F.floor(words / F.greatest(F.col("source_size"), F.lit(1)))).otherwise(F.lit(0))
@@ -111,12 +105,35 @@ def plan(documents: DataFrame, seed: str = "mix", schedule=rotating_schedule, ma
         return F.struct(e.alias("epoch"), taken.alias("words"), _invert(F.col("segments"), F.least(done, F.lit(1.0)) * area).alias("position"))
 
     listed = F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), occurrence)).otherwise(F.array().cast("array<struct<epoch:int,words:bigint,position:double>>"))
-    listed = placed.withColumn("occurrences", listed)
-    return listed.select(*kept.columns, "size", "source_size", "target", "taken", "occurrences")
+    return placed.withColumn("occurrences", listed)
+
 
+ADDED = ("size", "source_size", "target", "taken", "occurrences")
 
-def mix(documents: DataFrame, **options) -> DataFrame:
-    """All columns of the input, once per occurrence, range-sorted by training position. Documents are taken whole."""
-    every = plan(documents, whole=True, **options).withColumn("__o", F.explode("occurrences"))
-    ordered = every.repartitionByRange(F.col("__o.position"), F.xxhash64("doc_id", "__o.epoch")).sortWithinPartitions("__o.position", "doc_id")
-    return ordered.select(*documents.columns)
+
+def plan(documents: DataFrame, seed: str = "mix", columns: list[str] | None = None, **options) -> DataFrame:
+    """One row per input row, with its columns (all, or ``columns``), size, source_size, target, taken and ``occurrences``.
+
+    An occurrence has epoch, words and position. A source takes its rounded
+    target exactly: full passes, then one over its first documents, whose last
+    is cut; with ``whole`` that one is taken or left whole, whichever is nearer.
+    The seeded order goes by doc_id and text, so only equal rows can't be told
+    apart. Null and empty texts have size 0 and one occurrence per full pass; a
+    source without words has target 0. Repeated rows count each; an empty table
+    gives an empty one; columns of the added names are replaced, others kept
+    whatever their names. With ``columns`` texts are read once, and only what
+    was named and the sizes are written and planned on.
+    """
+    kept = [c for c in (documents.columns if columns is None else columns) if c not in ADDED]
+    rows = sized(documents, [F.struct(*kept).alias("__row")], seed)
+    if columns is not None:
+        rows = materialise(rows, "mix-sizes")
+    return planned(rows, **options).select("__row.*", *ADDED)
+
+
+def mix(documents: DataFrame, seed: str = "mix", **options) -> DataFrame:
+    """All columns of the input, whatever their names, once per occurrence, range-sorted by training position. Documents are taken whole."""
+    rows = sized(documents, [F.struct(*documents.columns).alias("__row")], seed)
+    every = planned(rows, whole=True, **options).withColumn("__o", F.explode("occurrences"))
+    ordered = every.repartitionByRange(F.col("__o.position"), "__digest", "__o.epoch").sortWithinPartitions("__o.position", "__digest", "__o.epoch")
+    return ordered.select("__row.*")

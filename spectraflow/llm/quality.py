@@ -62,7 +62,7 @@ def base_failed() -> Column:
 
 
 def votes() -> list[Column]:
-    """A column per rule: 1 good, -1 bad, 0 abstains. Shares use whole numbers, so no rounding decides."""
+    """A column per rule: 1 good, -1 bad, 0 abstains. Shares and powers are of whole numbers, so no rounding decides."""
     n, chars = F.col("n_words"), F.col("word_chars")
 
     def vote(good: Column, bad: Column) -> Column:
@@ -76,7 +76,7 @@ def votes() -> list[Column]:
         vote(10 * F.col("n_dup_lines") <= F.col("__n_lines"), 3 * F.col("n_dup_lines") > F.col("__n_lines")),
         vote(20 * F.col("n_repeat_words") <= n, 5 * F.col("n_repeat_words") > n),
         vote((n >= 20) & (8 * F.col("__n_capitals") <= chars), (n >= 20) & (3 * F.col("__n_capitals") > chars)),
-        vote(3 * F.col("__n_distinct") >= n, (6 * F.col("__n_distinct") < n) & (n < 3000)),
+        vote(3 * F.col("__n_distinct") >= n, 16 * F.pow(F.col("__n_distinct"), F.lit(4)) < F.pow(n, F.lit(3))),  # new words become rarer as a text goes on
         vote((n >= 20) & (30 * F.col("__n_stops") >= n) & (2 * F.col("__n_stops") <= n), (n >= 20) & ((100 * F.col("__n_stops") < n) | (4 * F.col("__n_stops") > 3 * n))),
     ]
 
@@ -146,7 +146,13 @@ def judge(documents: DataFrame, narrow: list[str] | None = None) -> DataFrame:
     voted = voted.withColumn("votes", F.array(*votes())).withColumn("base_failed", base_failed())
     names = rows.columns if narrow is None else narrow
     voted = materialise(voted.select(*names, *added[:7]), "quality")
-    model = learn(voted.select("votes"))
-    scored = voted.crossJoin(F.broadcast(model)).withColumn("quality", _sigmoid(_log_odds(F.col("votes"), F.col("model"))))
+    model = learn(voted.select("votes")).withColumnRenamed("model", "__model")  # one row
+    scored = voted.crossJoin(F.broadcast(model)).withColumn("quality", _sigmoid(_log_odds(F.col("votes"), F.col("__model"))))
     scored = scored.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= 0.5))
     return scored.select(*names, *added)
+
+
+def good(documents: DataFrame) -> DataFrame:
+    """The rows that ``judge`` keeps, with all their columns, whatever their names."""
+    rows = documents.select(F.struct(*documents.columns).alias("__row"), "text")
+    return judge(rows, ["__row"]).where("kept").select("__row.*")

@@ -16,7 +16,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    planned = mixing.plan(_read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    planned = mixing.plan(_read(spark, sf_dir, "documents"), columns=["doc_id"])
     first = F.round(F.get("occurrences", F.lit(0))["position"], 6).alias("first_position")
     rows = planned.select("doc_id", "size", "source_size", "target", "taken", first)
     return rows.repartitionByRange(F.col("first_position").asc_nulls_last(), "doc_id").sortWithinPartitions(F.col("first_position").asc_nulls_last(), "doc_id")
@@ -49,7 +49,7 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(_read(spark, sf_dir, "documents")).drop("hash")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

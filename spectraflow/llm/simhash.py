@@ -11,21 +11,23 @@ spanning forest, so groups of any size give linear output.
 
 A wide radius leaves no band nearly equal, and its exact search would compare
 a fixed share of all pairs. There, further trees over random sets of bits take
-the bands' place: texts that agree in one set meet in its tree, whatever the
-number of documents.
+the bands' place: texts that agree in one set meet in its tree. ``tree_plan``
+gives more bits and more trees to more texts.
 """
 
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spectraflow.llm.common import materialise
+from spectraflow.llm.common import batch_of, discard, materialise
 
 #: Most fingerprints from which the trees are shaped (every one is then put into them), fingerprints planned for a shard, most
 #: that one task gets from a side, most compared as one cell.
@@ -81,13 +83,15 @@ def fingerprints(texts: list[str | None], size: int = 3, seed: int = 42, block:
 
 
 def with_fingerprint(documents: DataFrame) -> DataFrame:
-    """doc_id and ``fp`` (the 64 bits as a signed long) of every row."""
+    """doc_id, ``hash`` (of the text) and ``fp`` (the 64 bits as a signed long) of every row."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": fingerprints(batch["text"].tolist()).view(np.int64)})
+            found = fingerprints(batch.column("text").to_pylist()).view(np.int64)
+            yield batch_of(["doc_id", "hash", "fp"], [batch.column("doc_id"), batch.column("hash"), (found, pa.int64())])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, fp long")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), "text")
+    return rows.mapInArrow(run, "doc_id long, hash long, fp long")
 
 
 def band_masks(bands: int) -> list[int]:
@@ -102,6 +106,18 @@ def random_masks(trees: int, bits: int, seed: int = 11) -> list[int]:
     return [sum(1 << int(b) for b in rng.choice(64, bits, replace=False)) for _ in range(trees)]
 
 
+def tree_plan(n: int, radius: int, miss: float = 0.03) -> tuple[int, int]:
+    """(trees, bits) with which a pair ``radius`` bits apart is missed with a chance of ``miss`` at most.
+
+    Values that agree in ``bits`` bits are compared, 10 for up to 2 ** 18
+    texts. Beyond, comparisons grow by N * N / 2 ** bits a tree and rows sent by
+    the number of trees; a bit more per fourfold N shares out the growth.
+    """
+    bits = 10 + max(0, math.ceil((math.log2(max(n, 1)) - 18) / 2))
+    meet = math.comb(64 - radius, bits) / math.comb(64, bits)
+    return math.ceil(math.log(miss) / math.log(1 - meet)), bits
+
+
 def _distance(values: np.ndarray, point: int) -> np.ndarray:
     return np.bitwise_count(values ^ np.uint64(point)).astype(np.int64)
 
@@ -207,8 +223,7 @@ def deal(distinct: DataFrame, radius: int, bands: int, target: int, shard: int,
     With ``trees``, each band is searched with reach 0, and so are that many
     trees over ``bits`` random bits. Links of less than ``bands`` bits are then
     sure to be found; one of d bits is missed with a chance of at most
-    (1 - C(64 - bits, d) / C(64, d)) ** trees: with 48 trees over 14 bits
-    0.03 for 10 bits, 0.002 for 8, whatever the number of documents.
+    (1 - C(64 - bits, d) / C(64, d)) ** trees, see ``tree_plan``.
 
     The trees' shape comes from a sample, a sixteenth in hash order and
     ``SAMPLE`` at most; every fingerprint goes into them. Shards are planned to
@@ -224,7 +239,7 @@ def deal(distinct: DataFrame, radius: int, bands: int, target: int, shard: int,
     rng = np.random.default_rng(7)
     leaf = max(16, len(picked) * target // max(n, 1))
     shapes = [build_tree(picked & np.uint64(m), leaf, rng) for m in masks]
-    packed = spark.sparkContext.broadcast(json.dumps(shapes))  # at most sample / 16 leaves a band
+    packed = spark.sparkContext.broadcast(json.dumps(shapes))  # SAMPLE / 16 leaves a band at most, however many documents
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = json.loads(packed.value)
@@ -240,7 +255,7 @@ def deal(distinct: DataFrame, radius: int, bands: int, target: int, shard: int,
     kinds = "".join(f", {c} {kind}" for c, kind in distinct.dtypes if c in others)
     routed = materialise(distinct.select("fp", *others).mapInPandas(send, "shard string, band int, fp long, stored boolean" + kinds), "simhash-shards")
     sizes = routed.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / F.lit(shard)).cast("int").alias("parts")).where("parts > 1")
-    dealt = routed.join(F.broadcast(sizes), "shard", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))  # sizes: leaves at most
+    dealt = routed.join(sizes, "shard", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     own, every = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"), F.sequence(F.lit(0), F.col("parts") - 1)
     one = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("stored").alias("in_shard"), F.lit(True).alias("asks")))
     asks = F.transform(every, lambda i: F.struct(i.alias("i"), own.alias("j"), F.lit(False).alias("in_shard"), F.lit(True).alias("asks")))
@@ -336,6 +351,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """
     state = None
     now = materialise(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+    spark = now.sparkSession
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -344,15 +360,19 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        now = materialise(small, name)
+        last, now = now, materialise(small, name)
+        discard(spark, last, large)
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == state:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         state = seen
 
 
-def near_duplicates(documents: DataFrame, radius: int = 2, bands: int = 3, trees: int = 0, bits: int = 14) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id reachable, of every row.
+def near_duplicates(documents: DataFrame, radius: int = 2, bands: int = 2, trees: int = 0, bits: int = 14) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable) and ``hash`` (of the text) of every row.
+
+    By default two bands of 32 bits are searched with reach 1, so a fingerprint
+    is looked for in every shard within a bit of its own.
 
     Texts without words have fingerprint zero and are linked like others; rows
     with a null doc_id take part, and a component of only such has a null id.
@@ -366,43 +386,46 @@ def near_duplicates(documents: DataFrame, radius: int = 2, bands: int = 3, trees
     classes = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = classes.join(least, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "hash")
 
 
-def verified_duplicates(documents: DataFrame, radius: int = 10, bands: int = 3, trees: int = 48, bits: int = 14) -> DataFrame:
+def verified_duplicates(documents: DataFrame, radius: int = 12, bands: int = 3, trees: int | None = None, bits: int = 10, first_trees: int = 1000) -> DataFrame:
     """Like ``near_duplicates``, but links are only candidates: two texts are joined if their five-word shingles are alike, too.
 
-    Texts with one shingle set are one node, its ``key``. First the links'
-    spanning forest is verified, by one key a fingerprint. A failed edge of it
-    may stand for others that hold, so the candidates are then searched again
-    for all pairs that are still in two groups, and these are verified as well:
-    the groups are those of all candidate pairs. Pairs that sizes or parities
-    rule out, or that are in one group already, aren't made.
+    Texts with one shingle set are one node, its ``key``. First a spanning
+    forest of the links that the bands and the first ``first_trees`` trees find
+    is verified, by one key a fingerprint. A failed edge of it may stand for
+    others that hold, so all trees are then searched for all pairs that are
+    still in two groups, and these are verified as well: the groups are those of
+    all candidate pairs. Pairs that sizes or parities rule out, or that are in
+    one group already, aren't made. ``trees`` and ``bits`` come from
+    ``tree_plan`` unless ``trees`` is given. Nulls, empty texts, repeated rows
+    and empty tables are as in ``near_duplicates``.
     """
-    if not trees:
-        raise ValueError("open_pairs needs reach 0, so trees")
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("hash", F.xxhash64("text"))
 
-    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "hash": batch["hash"], "fp": fingerprints(batch["text"].tolist()).view(np.int64)})
-
-    def shingle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
+        names = ["hash", "fp", "key", "size", "parity", "shingles"]
         for batch in batches:
-            sets = shingle_sets(batch["text"].tolist())
+            sets = shingle_sets(batch.column("text").to_pylist())
             keys = np.array([xxh64_intdigest(s.tobytes(), 42) for s in sets], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"hash": batch["hash"], "fp": batch["fp"], "key": keys, "size": [len(s) for s in sets], "parity": [parities(s).tobytes() for s in sets], "shingles": [s.tobytes() for s in sets]})
+            sizes, parity = [len(s) for s in sets], [parities(s).tobytes() for s in sets]
+            yield batch_of(names, [batch.column("hash"), batch.column("fp"), (keys, pa.int64()), (sizes, pa.int32()), (parity, pa.binary()), ([s.tobytes() for s in sets], pa.binary())])
 
-    marked = materialise(rows.mapInPandas(mark, "doc_id long, hash long, fp long"), "simhash")
+    marked = materialise(with_fingerprint(documents), "simhash")
     ident = F.coalesce("doc_id", "hash")  # one row of each text is read again
     texts = materialise(marked.groupBy("fp", "hash").agg(F.min("doc_id").alias("first_id"), F.min(ident).alias("id")), "simhash-texts")
-    edges = materialise(links(texts.select("fp").distinct(), radius, bands, trees=trees, bits=bits).distinct(), "simhash-links")
+    if trees is None:
+        trees, bits = tree_plan(texts.count(), radius)
+    if not trees:
+        raise ValueError("open_pairs needs reach 0, so trees")
+    edges = materialise(links(texts.select("fp").distinct(), radius, bands, trees=min(first_trees, trees), bits=bits).distinct(), "simhash-links")
     several = texts.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp")
     wanted = edges.select(F.col("a").alias("fp")).unionByName(edges.select(F.col("b").alias("fp"))).unionByName(several).distinct()
     found = rows.select(ident.alias("id"), "hash", "text").join(texts.join(wanted, "fp").select("id", "hash", "fp"), ["id", "hash"])
-    known = materialise(found.mapInPandas(shingle, "hash long, fp long, key long, size int, parity binary, shingles binary"), "simhash-shingles")
+    known = materialise(found.mapInArrow(shingle, "hash long, fp long, key long, size int, parity binary, shingles binary"), "simhash-shingles")
     keys = known.select("hash", "key").distinct()
     sets = materialise(known.dropDuplicates(["key"]).select("key", "size", "parity", "shingles"), "simhash-sets")
     members = materialise(known.select("fp", "key").distinct(), "simhash-members")
@@ -426,11 +449,15 @@ def verified_duplicates(documents: DataFrame, radius: int = 10, bands: int = 3,
     classes = texts.join(keys, "hash", "left").join(roots, "key", "left").select("hash", "first_id", F.coalesce("root", "key", "hash").alias("root"), F.col("key").isNotNull().alias("keyed"))
     least = classes.groupBy("root", "keyed").agg(F.min("first_id").alias("component_id"))
     named = classes.join(least, ["root", "keyed"]).select("hash", "component_id")
-    return marked.join(named, "hash").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return marked.join(named, "hash").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "hash")
 
 
 def one_of_each(documents: DataFrame, verified: bool = False, **options) -> DataFrame:
-    """The documents whose doc_id is their component's; all columns. Rows that repeat a kept doc_id stay, null doc_ids too."""
+    """The documents whose doc_id is their component's; all columns, whatever their names.
+
+    A row goes by its doc_id and text: another text under the doc_id of a copy
+    stays. Rows that repeat a kept doc_id stay, null doc_ids too.
+    """
     search = verified_duplicates if verified else near_duplicates
-    others = search(documents, **options).where("doc_id != component_id").select("doc_id").distinct()
-    return documents.join(others, "doc_id", "left_anti")
+    others = search(documents, **options).where("doc_id != component_id").select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash")).distinct()
+    return documents.join(others, (documents["doc_id"] == F.col("__id")) & (F.xxhash64(documents["text"]) == F.col("__hash")), "left_anti")

@@ -20,12 +20,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spectraflow.llm.common import filesystem, fresh_dir, materialise, write_bytes
+from spectraflow.llm.common import batch_of, filesystem, fresh_dir, materialise, write_bytes
 from spectraflow.llm.encoding import encoder
 
 MAGIC = b"DAC1"
@@ -113,21 +113,23 @@ def write_codes(documents: DataFrame, tokenizer_path: str, folder: str, end_id:
     end = np.array([end_id], dtype="<u4").tobytes()
     schema = "doc_id long, n_tokens long, file string, file_start long, part int, part_start long"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part, before = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         held, tokens, rows = [], 0, []
 
-        def flush() -> pd.DataFrame:
+        def flush() -> pa.RecordBatch:
             uri = f"{folder}/part-{part:06d}-{before:014d}-{uuid.uuid4().hex}.dac"
             write_bytes(uri, encode_ids(np.frombuffer(b"".join(held), "<u4")))
-            frame = pd.DataFrame([(d, n, uri, s, part, before + s) for d, n, s in rows], columns=["doc_id", "n_tokens", "file", "file_start", "part", "part_start"])
-            return frame.astype({"doc_id": "Int64", "part": "int32"})
+            docs, counts, starts = map(list, zip(*rows))
+            long, n = pa.int64(), len(rows)
+            columns = [(docs, long), (counts, long), ([uri] * n, pa.string()), (starts, long), ([part] * n, pa.int32()), ([before + s for s in starts], long)]
+            return batch_of(["doc_id", "n_tokens", "file", "file_start", "part", "part_start"], columns)
 
         for batch in batches:
-            for doc, text in zip(batch["doc_id"], batch["text"]):
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 ids = own.encode(text) + end
                 held.append(ids)
-                rows.append((None if pd.isna(doc) else int(doc), len(ids) // 4, tokens))
+                rows.append((doc, len(ids) // 4, tokens))
                 tokens += len(ids) // 4
                 if tokens >= file_tokens:
                     yield flush()
@@ -135,7 +137,7 @@ def write_codes(documents: DataFrame, tokenizer_path: str, folder: str, end_id:
         if rows:
             yield flush()
 
-    index = materialise(ordered.mapInPandas(run, schema), "token-index")
+    index = materialise(ordered.mapInArrow(run, schema), "token-index")
     parts = index.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per task
     parts = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
@@ -146,23 +148,23 @@ def read_digests(index: DataFrame) -> DataFrame:
     """Read every document's ids back from the files; add their count as ``read_tokens`` and ``ids_crc32``."""
     schema = index.select("*", F.lit(0).cast("long").alias("read_tokens"), F.lit(0).cast("long").alias("ids_crc32")).schema
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uri, reader = None, None
         for batch in batches:
             counts, sums = [], []
-            for file, start, n in zip(batch["file"], batch["file_start"], batch["n_tokens"]):
+            for file, start, n in zip(*(batch.column(c).to_pylist() for c in ("file", "file_start", "n_tokens"))):
                 if file != uri:
                     if reader:
                         reader.close()
                     uri, reader = file, Reader(file)
-                ids = reader.slice(int(start), int(start) + int(n))
+                ids = reader.slice(start, start + n)
                 counts.append(len(ids))
                 sums.append(zlib.crc32(ids.astype("<u4").tobytes()))
-            yield batch.assign(read_tokens=counts, ids_crc32=sums)
+            yield batch_of([*batch.schema.names, "read_tokens", "ids_crc32"], [*batch.columns, (counts, pa.int64()), (sums, pa.int64())])
         if reader:
             reader.close()
 
-    return index.mapInPandas(run, schema)
+    return index.mapInArrow(run, schema)
 
 
 def encode_documents(documents: DataFrame, tokenizer_path: str, folder: str | None = None, end_id: int = 2) -> DataFrame:

@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectraflow.llm.common import fresh_dir
+from spectraflow.llm.common import batch_of, fresh_dir
 from spectraflow.llm.encoding import encoder, version
 
 CACHE_SCHEMA = "digest string, n_tokens long, tokenizer string"
@@ -62,12 +62,18 @@ def count_tokens(documents: DataFrame, tokenizer_path: str, cache: str | None =
         "left_semi",
     )
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = encoder(tokenizer_path)
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, last = encoder(tokenizer_path), ("", 0)
         for batch in batches:
-            yield pd.DataFrame({"digest": batch["digest"], "n_tokens": [own.count(t) for t in batch["text"]], "tokenizer": tokenizer})
-
-    chosen.select("digest", "text").mapInPandas(encode, CACHE_SCHEMA).dropDuplicates(["digest"]).write.mode("append").parquet(cache)
+            digests, counts = batch.column("digest"), []
+            for digest, text in zip(digests.to_pylist(), batch.column("text").to_pylist()):
+                if digest != last[0]:  # copies under one doc_id follow each other
+                    last = digest, own.count(text)
+                counts.append(last[1])
+            yield batch_of(["digest", "n_tokens", "tokenizer"], [digests, (counts, pa.int64()), ([tokenizer] * len(counts), pa.string())])
+
+    misses = chosen.select("digest", "text").mapInArrow(encode, CACHE_SCHEMA).dropDuplicates(["digest"])
+    misses.write.mode("append").parquet(cache)
     counts = read_cache(spark, cache, tokenizer)
     keyed = texts.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
     return keyed.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -15,10 +15,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spectraflow.llm.common import batch_of
+
 WORD = re.compile(r"\w+")
 
 
@@ -68,17 +70,30 @@ def features(text: str, prefixes: tuple[int, ...], known=None, memo: dict | None
     for word in set(WORD.findall(text.lower())):
         hits = memo.get(word) if memo is not None else None
         if hits is None:
-            word_ = word[:64]
-            hits = ["=" + word_, *("^" + word_[:n] for n in prefixes if len(word_) >= n)]
+            hits = ["=" + word, *("^" + word[:n] for n in prefixes if len(word) >= n)]
             if known is not None:
                 hits = tuple(h for h in hits if h in known)
-            if memo is not None and len(memo) < 200_000:
+            if memo is not None and len(memo) < 200_000 and len(word) <= 64:  # longer words are looked up each time
                 memo[word] = hits
         if hits:
             out.update(hits)
     return out
 
 
+def gradients(w: np.ndarray, theta: np.ndarray, at: np.ndarray, col: np.ndarray, grade: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the mean negative log-likelihood, by weights and thresholds; row ``at[i]`` has feature ``col[i]``."""
+    n = len(grade)
+    s = np.bincount(at, weights=w[col], minlength=n)
+    cum = 1 / (1 + np.exp(-np.clip(theta[None, :] - s[:, None], -60, 60)))
+    edges = np.concatenate([np.zeros((n, 1)), cum, np.ones((n, 1))], axis=1)
+    low, high = edges[np.arange(n), grade], edges[np.arange(n), grade + 1]
+    p = np.maximum(high - low, 1e-12)
+    d_low, d_high = low * (1 - low) / p / n, high * (1 - high) / p / n
+    # theta_k is the upper edge of grade k and the lower edge of grade k + 1; w.x shifts both the other way
+    g_theta = np.array([d_low[grade == k + 1].sum() - d_high[grade == k].sum() for k in range(len(theta))])
+    return np.bincount(col, weights=(d_high - d_low)[at], minlength=len(w)), g_theta
+
+
 def fit(rows: list[tuple[str | None, int]], settings: Settings = Settings()) -> Model:
     """Fit on (text, toxic) rows. Without a row of either class, nothing is toxic."""
     toxic = np.array([int(t or 0) for _, t in rows], dtype=int)
@@ -108,25 +123,13 @@ def fit(rows: list[tuple[str | None, int]], settings: Settings = Settings()) ->
     pairs = [(r, place[f]) for r, fs in enumerate(found) for f in sorted(fs) if f in place]
     at, col = np.array(pairs, dtype=np.int64).reshape(-1, 2).T
     n, w, theta = len(rows), np.zeros(len(names)), np.array([2.0, 3.0])
-
-    def gradients(w: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        s = np.bincount(at, weights=w[col], minlength=n)
-        cum = 1 / (1 + np.exp(-np.clip(theta[None, :] - s[:, None], -60, 60)))
-        edges = np.concatenate([np.zeros((n, 1)), cum, np.ones((n, 1))], axis=1)
-        low, high = edges[np.arange(n), grade], edges[np.arange(n), grade + 1]
-        p = np.maximum(high - low, 1e-12)
-        d_low, d_high = low * (1 - low) / p / n, high * (1 - high) / p / n
-        # theta_k is the upper edge of grade k and the lower edge of grade k + 1; w.x shifts both the other way
-        g_theta = np.array([d_low[grade == k + 1].sum() - d_high[grade == k].sum() for k in (0, 1)])
-        return np.bincount(col, weights=(d_high - d_low)[at], minlength=len(names)), g_theta
-
     # proximal gradient with momentum; the step comes from a bound on the curvature, the sum of
     # the features of the fullest row times the most frequent feature's share
     per_row, per_col = np.bincount(at, minlength=n), np.bincount(col, minlength=len(names))
     step = 4 / (1 + np.sqrt(per_row.max(initial=1) * per_col.max(initial=1)) * np.sqrt(per_row.mean() + 1) / n * 4)
     ahead_w, ahead_t, t = w, theta, 1.0
     for _ in range(settings.rounds):
-        g_w, g_theta = gradients(ahead_w, ahead_t)
+        g_w, g_theta = gradients(ahead_w, ahead_t, at, col, grade)
         new_w = ahead_w - step * g_w
         new_w = np.sign(new_w) * np.maximum(np.abs(new_w) - step * settings.l1, 0)
         new_t = ahead_t - step * g_theta
@@ -149,26 +152,32 @@ def train(documents: DataFrame, labels: DataFrame, settings: Settings = Settings
     return fit([seen[k] for k in sorted(seen)], settings)
 
 
-def score(documents: DataFrame, model: Model) -> DataFrame:
-    """Add ``severity`` double, ``grade`` int and ``toxic`` boolean to every row.
+def score(documents: DataFrame, model: Model, names: tuple[str, str, str] = ("severity", "grade", "toxic")) -> DataFrame:
+    """Add severity double, grade int and toxic boolean, under ``names``, to every row.
 
     Null and empty texts are clean; equal texts get equal values; an empty table
     gives an empty one. Columns of those names are replaced, others kept.
     """
-    kept = documents.drop("severity", "grade", "toxic")
-    schema = kept.select("*", F.lit(0.0).alias("severity"), F.lit(0).alias("grade"), F.lit(False).alias("toxic")).schema
+    kept = documents.drop(*names)
+    schema = kept.select("*", *(F.lit(v).alias(n) for n, v in zip(names, (0.0, 0, False)))).schema
     packed = kept.sparkSession.sparkContext.broadcast(json.dumps([model.weights, model.thresholds, model.prefixes, model.reject_at]))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, thresholds, prefixes, reject_at = json.loads(packed.value)
         own = Model(weights, tuple(thresholds), tuple(prefixes), reject_at)
         for batch in batches:
-            severity, grade = own.expected(own.scores(batch["text"].tolist()))
-            yield batch.assign(severity=severity, grade=grade.astype("int32"), toxic=severity >= reject_at)
+            severity, grade = own.expected(own.scores(batch.column("text").to_pylist()))
+            yield batch_of([*batch.schema.names, *names], [*batch.columns, (severity, pa.float64()), (grade, pa.int32()), (severity >= reject_at, pa.bool_())])
 
-    return kept.mapInPandas(run, schema)
+    return kept.mapInArrow(run, schema)
 
 
-def detect(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def detect(documents: DataFrame, labels: DataFrame, settings: Settings = Settings(), **options) -> DataFrame:
     """Train, then score all documents."""
-    return score(documents, train(documents, labels, settings))
+    return score(documents, train(documents, labels, settings), **options)
+
+
+def clean(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """The rows that aren't toxic, with all their columns, whatever their names."""
+    names = ("__severity", "__grade", "__toxic")
+    return detect(documents, labels, settings, names=names).where(~F.col("__toxic")).drop(*names)

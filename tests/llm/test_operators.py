@@ -373,26 +373,11 @@ def test_sharding(spark, docs, rows, empty, tmp_path):
     assert spark.read.parquet((tmp_path / "shards").as_uri()).count() == len(rows)
 
 
-def test_verified_duplicates(spark):
-    """Links count only with 0.8 of the five-word shingles shared; failed links of a group's forest hide none that hold."""
-    rng = random.Random(12)
-    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(500)]
-    draw = lambda n: [rng.choice(vocabulary) for _ in range(n)]
-
-    def edited(words, n):
-        out = list(words)
-        for k in rng.sample(range(len(out)), n):
-            out[k] = rng.choice(vocabulary)
-        return out
-
-    texts = [draw(200) for _ in range(150)]
-    texts += [edited(t, n) for t in texts[:100] for n in (2, 12)]  # the second shares some 0.6
-    texts += [edited(texts[0], rng.randint(1, 14)) for _ in range(300)]
-    texts = [" ".join(t) for t in texts]
-    rows = [(i, t) for i, t in enumerate([*texts, *texts[:20], *(t.upper() for t in texts[20:40]), "a b", "A  b", "", None])] + [(3, texts[3]), (None, texts[5]), (None, "alone here")]
+def groups_alike(rows, radius):
+    """Smallest doc_id of each row's group, by comparing all pairs; and how many candidates aren't alike."""
     fps = simhash.fingerprints([r[1] for r in rows])
     sets = [{" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for _, t in rows]
-    root, near = list(range(len(rows))), 0
+    root, unlike = list(range(len(rows))), 0
 
     def find(i):
         while root[i] != i:
@@ -400,22 +385,62 @@ def test_verified_duplicates(spark):
         return i
 
     for i in range(len(rows)):
-        for j in np.flatnonzero(np.bitwise_count(fps[i] ^ fps[i + 1 :]) <= 10) + i + 1:
+        for j in np.flatnonzero(np.bitwise_count(fps[i] ^ fps[i + 1 :]) <= radius) + i + 1:
             if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
             else:
-                near += 1
+                unlike += 1
     least = {}
     for i, (d, _) in enumerate(rows):
         if d is not None:
             least[find(i)] = min(d, least.get(find(i), d))
-    want = sorted((str(d), str(least.get(find(i)))) for i, (d, _) in enumerate(rows))
+    return [least.get(find(i)) for i in range(len(rows))], unlike
+
+
+def test_verified_duplicates(spark):
+    """Links count only with 0.8 of the five-word shingles shared; failed links of a group's forest hide none that hold."""
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(500)]
+    draw = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+
+    def edited(words, n):
+        out = list(words)
+        for k in rng.sample(range(len(out)), n):
+            out[k] = rng.choice(vocabulary)
+        return out
+
+    texts = [draw(200) for _ in range(150)]
+    texts += [edited(t, n) for t in texts[:100] for n in (2, 12)]  # the second shares some 0.6
+    texts += [edited(texts[0], rng.randint(1, 14)) for _ in range(300)]
+    texts = [" ".join(t) for t in texts]
+    rows = [(i, t) for i, t in enumerate([*texts, *texts[:20], *(t.upper() for t in texts[20:40]), "a b", "A  b", "", None])] + [(3, texts[3]), (None, texts[5]), (None, "alone here")]
     table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = simhash.verified_duplicates(table).collect()
-    assert near > 1000 and sorted((str(r["doc_id"]), str(r["component_id"])) for r in got) == want
+    want, unlike = groups_alike(rows, 10)
+    got = simhash.verified_duplicates(table, radius=10, trees=48).collect()
+    assert unlike > 1000 and sorted((str(r["doc_id"]), str(r["component_id"])) for r in got) == sorted((str(d), str(w)) for (d, _), w in zip(rows, want))
     import corpus_pipeline
 
     kept = [r["doc_id"] for r in corpus_pipeline.distinct(spark, table, "").collect()]
-    assert {k for k in kept if k is not None} == set(least.values())
+    assert {k for k in kept if k is not None} == {w for w in groups_alike(rows, 12)[0] if w is not None}
     assert simhash.verified_duplicates(table.limit(0)).count() == 0
+
+
+def test_recall_of_the_planned_trees(spark):
+    """Near copies of real texts: all pairs alike, whatever their fingerprints, against those joined."""
+    documents = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("length(text) between 400 and 4000")
+    base = [(r["doc_id"], r["text"]) for r in documents.orderBy("doc_id").limit(400).collect()]
+    rng = random.Random(8)
+    copies, alike = [], []
+    for doc, text in base:
+        words = text.split()
+        for k in rng.sample(range(len(words)), max(1, len(words) // 50)):
+            words[k] = "changed"
+        x, y = simhash.shingle_sets([text, " ".join(words)])
+        copies.append((doc + 10**9, " ".join(words)))
+        alike.append(5 * len(np.intersect1d(x, y)) >= 4 * len(np.union1d(x, y)))
+    table = spark.createDataFrame(base + copies, "doc_id long, text string").repartition(4)
+    group = {r["doc_id"]: r["component_id"] for r in simhash.verified_duplicates(table).collect()}
+    pairs = [(d, c) for (d, _), (c, _), a in zip(base, copies, alike) if a]
+    assert len(pairs) > 150 and sum(group[d] == group[c] for d, c in pairs) >= 0.95 * len(pairs)
+    assert simhash.tree_plan(10**4, 12)[1] < simhash.tree_plan(10**7, 12)[1]
