@@ -19,12 +19,13 @@ import regex
 BYTE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-#: Latin letters, ASCII and general punctuation, spaces and newlines; one code point that changes length in lower case is out.
-PLAIN = re.compile("[ -~\n\xa1-įı-ſ‐-‧]*")
+#: Anything but Latin letters, ASCII and general punctuation, spaces and newlines; one code point that changes length in lower case is out.
+FOREIGN = re.compile("[^ -~\n\xa1-įı-ſ‐-‧]")
 UNIT = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-UNEVEN = re.compile(r"[ \n][ \n]|^[ \n]|[ \n]\Z")
-UNITS_KEPT = 150_000
-WORDS_KEPT = 120_000
+STOPS = frozenset(",.;:!?")
+#: Bounds of the two memos: some 150 and 60 MB a worker if full.
+UNITS_KEPT = 500_000
+WORDS_KEPT = 250_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -86,16 +87,28 @@ class Encoder:
         return found
 
     def _unit(self, unit: str) -> bytes:
-        return b"".join([self._word(w) for w in self.split.findall(unit.lower() if self.lower else unit)])
+        if self.lower:
+            unit = unit.lower()
+        body = unit[1:] if unit[:1] == " " else unit
+        if body.isalpha():  # letters only, with one blank before them at most, are one word to either pattern
+            return self._word(unit)
+        if body[-1:] in STOPS and body[:-1].isalpha():
+            return self._word(unit[:-1]) + self._word(unit[-1])
+        return b"".join([self._word(w) for w in self.split.findall(unit)])
+
+    def _plain(self, text: str) -> bool:
+        if text.isascii():
+            return text.replace("\n", "").isprintable()
+        return FOREIGN.search(text) is None
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self.split is None or not PLAIN.fullmatch(text) or any(s in text for s in self.specials):
+        if self.split is None or not self._plain(text) or any(s in text for s in self.specials):
             return self.whole(text)
         if self.lower:
             return b"".join(map(self.units.__getitem__, text.split()))
-        if UNEVEN.search(text):
+        if text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
             return b"".join(map(self.units.__getitem__, UNIT.findall(text)))
         lines = []
         for line in text.split("\n"):  # single spaces and newlines: a space goes to the word after it, a newline is a word
