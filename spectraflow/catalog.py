@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectraflow.functions import arrays, mass
-from spectraflow.operators import bands, islands, pairing, peaks, tables, tracks
+from spectraflow.functions import arrays, mass, text
+from spectraflow.operators import bands, clusters, islands, matching, merge, pairing, peaks, spectra, tables, tracks
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -51,7 +51,7 @@ def mz_selectivity(spark, sf_dir):
 def paired_mapping(spark, sf_dir):
     a = _read(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_acctbal").alias("v"), F.col("c_custkey").alias("k"))
     b = _read(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_acctbal").alias("v"), F.col("s_suppkey").alias("k"))
-    return pairing.paired_mapping(a, b, "v", "k", 300.0)
+    return pairing.paired_mapping(a, b, "v", "k", 300.0, reach=5.0)
 
 
 def band_join_all(spark, sf_dir):
@@ -64,8 +64,8 @@ def _halves(spark, sf_dir):
     e = points(spark, sf_dir).where("intensity > 0")
     a = e.where("event_id % 2 = 0").select(F.col("event_id").alias("left_id"), F.col("intensity").alias("left_mz"), F.col("scan").alias("left_rt"))
     b = e.where("event_id % 2 = 1").select(F.col("event_id").alias("right_id"), F.col("intensity").alias("right_mz"), F.col("scan").alias("right_rt"))
-    close = (F.abs(F.col("left_mz") - F.col("right_mz")) * 1000 <= F.col("left_mz")) & (F.abs(F.col("left_rt") - F.col("right_rt")) < 5)
-    return bands.band_join(a, b, "left_rt", "right_rt", 5.0, close)
+    near = matching.mz_rt_join(a, b, "left_mz", "right_mz", "left_rt", "right_rt", 1000.001, 5.0)
+    return near.where(F.abs(F.col("left_mz") - F.col("right_mz")) * 1000 <= F.col("left_mz"))  # whole numbers: the limit itself counts
 
 
 def match_features(spark, sf_dir):
@@ -169,7 +169,8 @@ def lib_cosine(spark, sf_dir):
 def detect_peaks(spark, sf_dir):
     sums = tracks.composite(points(spark, sf_dir), ["track", "scan"], "intensity")
     cells = F.map_from_entries(F.collect_list(F.struct("scan", F.col("intensity").cast("double"))))
-    vectors = sums.groupBy("track").agg(arrays.dense(cells, 24 * 31).alias("v"))
+    last = sums.agg((F.max("scan") + 1).alias("scans"))  # one row
+    vectors = sums.groupBy("track").agg(cells.alias("cells")).crossJoin(last).select("track", arrays.dense(F.col("cells"), F.col("scans")).alias("v"))
     return peaks.detect(vectors, "track", "v").withColumns({c: F.round(c, 4) for c in ("width", "area", "goodness", "sigma")})
 
 
@@ -179,7 +180,7 @@ def tic(spark, sf_dir):
 
 
 def orphans(spark, sf_dir):
-    used = _read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    used = _read(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return bands.orphans(_read(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), used, "c_custkey")
 
 
@@ -188,6 +189,107 @@ def theoretical_ions(spark, sf_dir):
     return rows.select("p_partkey", "x.ion", F.round("x.ion_mz", 5).alias("ion_mz"))
 
 
+def close_pairs(spark, sf_dir):
+    rows = _read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("mz"))
+    return clusters.close_pairs(rows, "mz", "o_orderkey", 5.0, reach=10.0).select("o_orderkey", "before")
+
+
+def compact_tracks(spark, sf_dir):
+    kept = clusters.compact(points(spark, sf_dir), ["track"], "scan", "intensity", 5, 60, 5000)
+    return kept.groupBy("track").agg(F.count(F.lit(1)).alias("n"))
+
+
+def extract_targets(spark, sf_dir):
+    features = _read(spark, sf_dir, "customer").where("c_acctbal > 0").select("c_custkey", "c_acctbal")
+    found = matching.extract_targets(features, _read(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), "c_acctbal", "p_retailprice", "p_partkey", 100.0, 1.0)
+    return found.select("p_partkey", "c_custkey", F.round("ppm_error", 4).alias("ppm_error"))
+
+
+def annotate_ions(spark, sf_dir):
+    features = _read(spark, sf_dir, "customer").where("c_acctbal > 0").select("c_custkey", F.col("c_acctbal").alias("mz"))
+    found = matching.annotate(features, _read(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), "c_custkey", "mz", "p_partkey", "p_retailprice", "pos", 20.0, 1.0)
+    return found.withColumn("ppm_error", F.round("ppm_error", 4))
+
+
+def nearest_track(spark, sf_dir):
+    tracks_ = _read(spark, sf_dir, "supplier").select("s_suppkey", F.floor(F.col("s_acctbal") * 100 + 0.5).cast("long").alias("mz"))
+    targets = _read(spark, sf_dir, "part").select("p_partkey", F.floor(F.col("p_retailprice") * 100 + 0.5).cast("long").alias("target"))
+    return matching.nearest_track(tracks_, targets, "mz", "target", "s_suppkey", "p_partkey", 2000.0).select("p_partkey", "s_suppkey")
+
+
+def index_window(spark, sf_dir):
+    a = _read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_acctbal").alias("a_index"))
+    b = _read(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").alias("b_index"))
+    return matching.near_index(a, b, "a_index", "b_index", 2.0).select("s_suppkey", "c_custkey")
+
+
+SPIKES = [("one", 1000.0), ("two", 1200.5), ("three", 1201.0)]
+
+
+def spike_ins(spark, sf_dir):
+    rows = _read(spark, sf_dir, "part").select("p_partkey", F.col("p_retailprice").alias("mz"), F.col("p_size").alias("intensity"))
+    return matching.spike_ins(rows, SPIKES, "mz", "intensity", 5.0, 10).select("p_partkey", "target")
+
+
+def best_spectrum(spark, sf_dir):
+    lines = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_extendedprice").alias("mz"), F.floor("l_quantity").cast("double").alias("intensity"))).alias("peaks"))
+    orders = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    best = spectra.best_spectrum(lines.join(orders, "l_orderkey"), ["o_custkey"], order="l_orderkey")
+    return best.select("o_custkey", "l_orderkey", spectra.total(F.col("peaks")).cast("long").alias("total"))
+
+
+def richest_spectra(spark, sf_dir):
+    lines = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_extendedprice").alias("mz"), F.col("l_quantity").alias("intensity"))).alias("peaks"))
+    orders = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    return spectra.richest(lines.join(orders, "l_orderkey"), ["o_custkey"], 2, order="l_orderkey").select("o_custkey", "l_orderkey", F.size("peaks").alias("n_peaks"))
+
+
+def base_peaks(spark, sf_dir):
+    peaks_ = F.sort_array(F.collect_list(F.struct(F.col("l_linenumber").alias("at"), F.floor(F.col("l_quantity")).cast("long").alias("intensity"))))
+    lines = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(peaks_.alias("peaks"))
+    top = lines.withColumn("b", spectra.base_peak(F.col("peaks")))
+    return top.select("l_orderkey", F.col("b.at").cast("int").alias("base"), F.size(spectra.above_share(F.col("peaks"), 0.5)).cast("long").alias("n_high"))
+
+
+def html_escaped(spark, sf_dir):
+    rows = _read(spark, sf_dir, "pages").select("page_id", text.html_escape(F.col("html")).alias("x"))
+    return rows.select("page_id", F.md5(F.col("x").cast("binary")).alias("digest"), F.char_length("x").cast("long").alias("n_chars"))
+
+
+def safe_filenames(spark, sf_dir):
+    return _read(spark, sf_dir, "pages").select("page_id", text.safe_filename(F.col("url")).alias("name"))
+
+
+def human_sizes(spark, sf_dir):
+    return _read(spark, sf_dir, "orders").select("o_orderkey", text.human_size(F.floor(F.col("o_totalprice") * 1000).cast("long")).alias("size"))
+
+
+def complete_mapping(spark, sf_dir):
+    a = _read(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_acctbal").alias("v"), F.col("c_custkey").alias("k"))
+    b = _read(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_acctbal").alias("v"), F.col("s_suppkey").alias("k"))
+    return matching.complete_mapping(a, b, "v", "k", 300.0, reach=3.0)
+
+
+def merge_tables(spark, sf_dir):
+    e = points(spark, sf_dir).where("intensity > 0")
+    rows = e.select(F.concat(F.lit("t"), F.col("event_id") % 3).alias("table"), F.col("event_id").alias("id"), (F.col("intensity") / 10).alias("mz"), F.col("scan").cast("double").alias("rtime"))
+    return merge.consensus(rows, 20.0, 3.0, reach=1.0).select("table", "id", F.round("group_mz", 6).alias("group_mz"), F.round("group_rtime", 6).alias("group_rtime"))
+
+
+def mass_splits(spark, sf_dir):
+    rows = _read(spark, sf_dir, "part").select("p_partkey", F.floor(F.col("p_retailprice") / 10).cast("long").alias("bin"), F.col("p_retailprice").alias("mz"))
+    return clusters.split_wide(rows, ["bin"], "mz", 500.0).select("p_partkey", "bin", "part")
+
+
+def spectrum_scores(spark, sf_dir):
+    lines = _read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(
+        F.sort_array(F.collect_list(F.struct((F.col("l_partkey") % 97).cast("double").alias("mz"), F.col("l_quantity").cast("double").alias("intensity")))).alias("peaks"))
+    totals = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("precursor_mz"), (F.col("o_orderkey") % 2).alias("half"))
+    every = lines.join(totals, "id")
+    found = spectra.search_library(every.where("half = 0"), every.where("half = 1"), 5.0, 0.5, 0.1)
+    return found.select("spectrum_id", "library_id", F.round("cosine", 6).alias("cosine"), "n_matched", F.round("entropy", 6).alias("entropy"))
+
+
 def _ion_values() -> str:
     return ", ".join(f"('{k}', {mass.PROTON}e0, {d}e0)" for k, d in mass.POSITIVE_ADDUCTS.items())
 
@@ -208,7 +310,7 @@ ORACLE_SQL = {
       f AS (SELECT mz, coalesce(CASE WHEN a > 100 THEN 1e0 WHEN a < 0.1e0 THEN 0e0 ELSE 1e0 - exp(-a / 5e0) END, 1e0) * 1e0 AS fa, b, c, d, a FROM d)
       SELECT mz, round((CASE WHEN a IS NULL OR a > 100 THEN 1e0 WHEN a < 0.1e0 THEN 0e0 ELSE 1e0 - exp(-a / 5e0) END) * (CASE WHEN b IS NULL OR b > 100 THEN 1e0 WHEN b < 0.1e0 THEN 0e0 ELSE 1e0 - exp(-b / 5e0) END)
         * (CASE WHEN c IS NULL OR c > 100 THEN 1e0 WHEN c < 0.1e0 THEN 0e0 ELSE 1e0 - exp(-c / 5e0) END) * (CASE WHEN d IS NULL OR d > 100 THEN 1e0 WHEN d < 0.1e0 THEN 0e0 ELSE 1e0 - exp(-d / 5e0) END), 8) AS selectivity FROM f""",
-    "paired_mapping": """WITH u AS (SELECT c_acctbal AS v, 1 AS side, c_custkey AS k FROM customer WHERE c_acctbal > 100 UNION ALL SELECT s_acctbal, 2, s_suppkey FROM supplier WHERE s_acctbal > 100),
+    "paired_mapping": """WITH u AS (SELECT c_acctbal AS v, 1 AS side, c_custkey AS k FROM customer WHERE c_acctbal > 0 UNION ALL SELECT s_acctbal, 2, s_suppkey FROM supplier WHERE s_acctbal > 0),
       n AS (SELECT *, lag(v) OVER w AS pv, lag(side) OVER w AS ps, lag(k) OVER w AS pk, lead(v) OVER w AS nv FROM u WINDOW w AS (ORDER BY v, side, k)),
       f AS (SELECT * FROM n WHERE side <> ps AND v - pv < v * (300e0 * 1e-6) AND coalesce(nv, 999999e0) - v > v * (300e0 * 1e-6))
       SELECT CASE WHEN side = 2 THEN pk ELSE k END AS left_key, CASE WHEN side = 2 THEN k ELSE pk END AS right_key, CASE WHEN side = 2 THEN pv ELSE v END AS left_value, CASE WHEN side = 2 THEN v ELSE pv END AS right_value FROM f""",
@@ -239,7 +341,7 @@ ORACLE_SQL = {
       coalesce(CAST(sum(trunc(l_quantity)) FILTER (l_returnflag = 'R') AS BIGINT), 0) AS sample_r FROM lineitem GROUP BY 1)
       SELECT *, CAST(sample_a > 1 AS INT) + CAST(sample_n > 1 AS INT) + CAST(sample_r > 1 AS INT) AS detection_counts FROM w WHERE CAST(sample_a > 1 AS INT) + CAST(sample_n > 1 AS INT) + CAST(sample_r > 1 AS INT) >= 2""",
     "top_n_peaks": "SELECT l_orderkey, l_linenumber, l_extendedprice, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS INT) AS rank FROM lineitem QUALIFY rank <= 3",
-    "jaccard_samples": """WITH s AS (SELECT DISTINCT l_suppkey % 20 AS sample, l_partkey FROM lineitem WHERE l_partkey % 5 = 0), n AS (SELECT sample, count(*) AS n FROM s GROUP BY 1),
+    "jaccard_samples": """WITH s AS (SELECT DISTINCT l_suppkey % 20 AS sample, l_partkey FROM lineitem), n AS (SELECT sample, count(*) AS n FROM s GROUP BY 1),
       j AS (SELECT x.sample AS a, y.sample AS b, count(*) AS k FROM s x JOIN s y ON x.l_partkey = y.l_partkey AND x.sample < y.sample GROUP BY 1, 2)
       SELECT a, b, round(k / CAST(p.n + q.n - k AS DOUBLE), 8) AS jaccard FROM j JOIN n p ON p.sample = a JOIN n q ON q.sample = b""",
     "pairwise_corr": f"WITH {_DAILY} SELECT x.event_type AS a, y.event_type AS b, round(corr(x.total, y.total), 6) AS r FROM daily x JOIN daily y ON x.day = y.day AND x.event_type < y.event_type GROUP BY 1, 2",
@@ -248,7 +350,31 @@ ORACLE_SQL = {
       c AS (SELECT event_id, track, cluster, count(*) OVER (PARTITION BY track, cluster) AS size FROM r) SELECT * FROM c WHERE size > 1""",
     "interp_clamped": f"WITH {POINTS} SELECT event_id, round({_knots_sql()}, 6) AS index FROM points",
     "tic": f"WITH {POINTS} SELECT scan, CAST(sum(intensity) AS BIGINT) AS tic, max(intensity) AS base_peak FROM points GROUP BY scan",
-    "orphans": "SELECT c_custkey, c_acctbal FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "orphans": "SELECT c_custkey, c_acctbal FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')",
+    "close_pairs": """WITH o AS (SELECT o_orderkey, o_totalprice AS mz, lag(o_orderkey) OVER w AS before, lag(o_totalprice) OVER w AS p FROM orders WINDOW w AS (ORDER BY o_totalprice, o_orderkey))
+      SELECT o_orderkey, before FROM o WHERE mz - p < mz * (5e0 * 1e-6)""",
+    "compact_tracks": f"""WITH {POINTS}, s AS (SELECT *, scan - lag(scan, 4) OVER (PARTITION BY track ORDER BY scan) AS span FROM points)
+      SELECT track, count(*) AS n FROM s GROUP BY track HAVING max(intensity) >= 5000 AND (count(*) >= 20 OR min(span) <= 64)""",
+    "extract_targets": """SELECT p_partkey, c_custkey, round((c_acctbal - p_retailprice) / p_retailprice * 1e6, 4) AS ppm_error FROM part LEFT JOIN customer
+      ON c_acctbal > 0 AND abs(p_retailprice - c_acctbal) < p_retailprice * (100e0 * 1e-6)""",
+    "annotate_ions": f"""WITH i AS (SELECT p_partkey, ion, p_retailprice + proton + d AS ion_mz FROM part, (VALUES {_ion_values()}) t(ion, proton, d))
+      SELECT c_custkey, p_partkey, ion, round((c_acctbal - ion_mz) / ion_mz * 1e6, 4) AS ppm_error FROM customer JOIN i
+      ON c_acctbal > 0 AND ion_mz > c_acctbal - c_acctbal * (20e0 * 1e-6) AND ion_mz <= c_acctbal + c_acctbal * (20e0 * 1e-6)""",
+    "nearest_track": """WITH p AS (SELECT p_partkey, CAST(floor(p_retailprice * 100 + 0.5e0) AS BIGINT) AS v FROM part), s AS (SELECT s_suppkey, CAST(floor(s_acctbal * 100 + 0.5e0) AS BIGINT) AS v FROM supplier),
+      j AS (SELECT p_partkey, s_suppkey, row_number() OVER (PARTITION BY p_partkey ORDER BY abs(p.v - s.v), s_suppkey) AS r FROM p JOIN s ON abs(p.v - s.v) < 2000) SELECT p_partkey, s_suppkey FROM j WHERE r = 1""",
+    "index_window": "SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON abs(s_acctbal - c_acctbal) < 2e0",
+    "spike_ins": f"SELECT p_partkey, target FROM part JOIN (VALUES {', '.join(f"('{n}', {m!r}e0)" for n, m in SPIKES)}) t(target, m) ON p_size > 10 AND abs(p_retailprice - m) < 5e0",
+    "best_spectrum": """WITH s AS (SELECT o_custkey, l_orderkey, CAST(sum(floor(l_quantity)) AS BIGINT) AS total FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2)
+      SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY total DESC, l_orderkey) = 1""",
+    "richest_spectra": """WITH s AS (SELECT o_custkey, l_orderkey, CAST(count(*) AS INT) AS n_peaks FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2)
+      SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY n_peaks DESC, l_orderkey) <= 2""",
+    "base_peaks": """WITH m AS (SELECT l_orderkey, l_linenumber, floor(l_quantity) AS q, max(floor(l_quantity)) OVER (PARTITION BY l_orderkey) AS top FROM lineitem)
+      SELECT l_orderkey, CAST(min(l_linenumber) FILTER (q = top) AS INT) AS base, count(*) FILTER (q >= top * 0.5e0) AS n_high FROM m GROUP BY 1""",
+    "html_escaped": """WITH e AS (SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#39;') AS x FROM pages)
+      SELECT page_id, md5(x) AS digest, length(x) AS n_chars FROM e""",
+    "safe_filenames": r"""SELECT page_id, regexp_replace(regexp_replace(url, '[<>:"/\\|?*\x00-\x1f]', '_', 'g'), '[. ]+$', '') AS name FROM pages""",
+    "human_sizes": """WITH n AS (SELECT o_orderkey, CAST(floor(o_totalprice * 1000) AS BIGINT) AS n FROM orders)
+      SELECT o_orderkey, CASE WHEN n < 1024 THEN printf('%.1fB', n / 1e0) WHEN n < 1048576 THEN printf('%.1fKiB', n / 1024e0) WHEN n < 1073741824 THEN printf('%.1fMiB', n / 1048576e0) ELSE printf('%.1fGiB', n / 1073741824e0) END AS size FROM n""",
     "theoretical_ions": f"SELECT p_partkey, ion, round(p_retailprice + proton + d, 5) AS ion_mz FROM part, (VALUES {_ion_values()}) t(ion, proton, d)",
 }
 
@@ -257,5 +383,7 @@ QUERIES = {
     for f in (
         feature_table, roi_islands, mz_selectivity, paired_mapping, band_join_all, match_features, mutual_best_match, nearest_pairs, mz_islands, consensus_mz, composite_sum,
         area_sum_auc, moving_mean_clamped, noise_baseline, detrend, quality_filter, top_n_peaks, jaccard_samples, pairwise_corr, coelution_clusters, interp_clamped, lib_cosine, detect_peaks, tic, orphans, theoretical_ions,
+        close_pairs, compact_tracks, extract_targets, annotate_ions, nearest_track, index_window, spike_ins, best_spectrum, richest_spectra, base_peaks, html_escaped, safe_filenames, human_sizes,
+        complete_mapping, merge_tables, mass_splits, spectrum_scores,
     )
 }

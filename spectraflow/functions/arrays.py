@@ -37,9 +37,9 @@ def first_argmax(values: Column) -> Column:
     return (F.array_position(values, F.array_max(values)) - 1).cast("int")
 
 
-def dense(points: Column, length: int) -> Column:
+def dense(points: Column, length: Column | int) -> Column:
     """A map scan -> intensity as a vector of ``length`` cells, 0 where absent."""
-    return F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: F.coalesce(F.element_at(points, i), F.lit(0.0)))
+    return F.transform(F.sequence(F.lit(0), (F.lit(length) if isinstance(length, int) else length) - 1), lambda i: F.coalesce(F.element_at(points, i), F.lit(0.0)))
 
 
 def top_peaks(peaks: Column, n: int) -> Column:

@@ -8,6 +8,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# The smoothing share up to a number of landmarks, how it falls with each further one, and its least;
+# points that hold either end of the curve, and how far beyond the run they lie, as a share of it.
+MOST_SHARE, FEW_LANDMARKS, SHARE_FALL, LEAST_SHARE = 0.6, 50, 0.004, 0.2
+HOLDING, BEYOND = 3, 0.1
+
+
 def lowess(x, y, frac: float = 2 / 3, iterations: int = 3) -> np.ndarray:
     """Robust locally weighted lines (Cleveland 1979) at every x, which ascends; ``iterations`` robust rounds follow the first fit."""
     x, y = np.asarray(x, dtype=float), np.asarray(y, dtype=float)
@@ -66,27 +72,37 @@ def calibrate(landmarks: DataFrame, last_scan: int, reference_last_scan: int, it
     kind = landmarks.schema[sample].dataType.simpleString()
 
     def solve(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["apex", "reference_apex"])
-        low, high = [-0.1 * last_scan] * 3, [1.1 * last_scan] * 3
-        x = np.r_[low, frame["apex"].to_numpy(dtype=float), high]
-        y = np.r_[low, frame["reference_apex"].to_numpy(dtype=float), high]
-        curve = lowess(x, y, max(0.2, min(0.6, 0.6 - 0.004 * (len(frame) - 50))), iterations)
-        knots, first = np.unique(x, return_index=True)
-        scans, reference = np.arange(last_scan + 1), np.arange(reference_last_scan + 1)
-        forward = np.interp(scans, knots, curve[first])
-        ascending, at = np.unique(forward, return_index=True)
-        if len(ascending) < 2:
-            return pd.DataFrame({sample: [], "direction": [], "source": [], "target": []})
-        backward = interpolate(ascending, scans[at], reference)
-        parts = []
-        for name, source, target, bound in (("forward", scans, np.rint(forward), reference_last_scan), ("reverse", reference, np.rint(backward), last_scan)):
-            kept = (source != target) & (target >= 0) & (target <= bound)
-            parts.append(pd.DataFrame({sample: key[0], "direction": name, "source": source[kept], "target": target[kept].astype(int)}))
-        return pd.concat(parts)
+        forward = forward_curve(frame["apex"].to_numpy(dtype=float), frame["reference_apex"].to_numpy(dtype=float), last_scan, iterations)
+        maps = {"forward": moved(forward, reference_last_scan), "reverse": moved(reverse_curve(forward, reference_last_scan), last_scan)}
+        return pd.concat([pd.DataFrame({sample: key[0], "direction": name, "source": source, "target": target}) for name, (source, target) in maps.items()])
 
     return clean_landmarks(landmarks, sample).groupBy(sample).applyInPandas(solve, f"{sample} {kind}, direction string, source int, target int")
 
 
+def forward_curve(apex: np.ndarray, reference: np.ndarray, last_scan: int, iterations: int) -> np.ndarray:
+    """The reference time, as a fraction of scans, of every scan of a sample."""
+    share = np.clip(MOST_SHARE - SHARE_FALL * (len(apex) - FEW_LANDMARKS), LEAST_SHARE, MOST_SHARE)
+    ends = np.repeat([-BEYOND * last_scan, (1 + BEYOND) * last_scan], HOLDING)
+    points = np.concatenate([np.stack([apex, reference]), np.stack([ends, ends])], axis=1)
+    x, y = points[:, np.lexsort(points[::-1])]
+    knots, first = np.unique(x, return_index=True)
+    return np.interp(np.arange(last_scan + 1), knots, lowess(x, y, share, iterations)[first])
+
+
+def reverse_curve(forward: np.ndarray, reference_last_scan: int) -> np.ndarray:
+    """The sample's scan of every reference scan: the forward curve read the other way."""
+    times, scans = np.unique(forward, return_index=True)
+    every = np.arange(reference_last_scan + 1)
+    return interpolate(times, scans, every) if len(times) > 1 else every.astype(float)
+
+
+def moved(curve: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray]:
+    """Scans that the rounded curve moves, and where to, within 0 to ``bound``."""
+    target = np.rint(curve).astype(int)
+    source = np.flatnonzero((target != np.arange(len(curve))) & (target >= 0) & (target <= bound))
+    return source, target[source]
+
+
 def remap(points: DataFrame, forward: DataFrame, keys: list[str], scan: str = "scan", intensity: str = "intensity", sample: str = "sample") -> DataFrame:
     """Every cell stays; a mapped cell is also written over its target, of several the last source's. ``keys`` include the sample."""
     moves = forward.where("direction = 'forward'").select(sample, F.col("source").alias(scan), "target")

@@ -18,10 +18,10 @@ def band_join(left: DataFrame, right: DataFrame, left_value: str, right_value: s
     return a.join(b, (F.col("__band") == F.col("__other")) & condition, how).drop("__band", "__other")
 
 
-def ppm_join(left: DataFrame, right: DataFrame, left_mz: str, right_mz: str, ppm: float, reach: float, strict: bool = True, relative_to: str | None = None) -> DataFrame:
+def ppm_join(left: DataFrame, right: DataFrame, left_mz: str, right_mz: str, ppm: float, reach: float, strict: bool = True, relative_to: str | None = None, how: str = "inner") -> DataFrame:
     """Pairs within ``ppm`` of ``relative_to`` (the left value by default); ``reach`` is at least the widest tolerance."""
     apart, limit = F.abs(F.col(left_mz) - F.col(right_mz)), F.col(relative_to or left_mz) * (ppm * 1e-6)
-    return band_join(left, right, left_mz, right_mz, reach, apart < limit if strict else apart <= limit)
+    return band_join(left, right, left_mz, right_mz, reach, apart < limit if strict else apart <= limit, how)
 
 
 def best_match(pairs: DataFrame, side: str, distance: Column, tie: str) -> DataFrame:

@@ -29,12 +29,12 @@ def islands(df: DataFrame, keys: list[str], order: str, breaks, name: str = "isl
     return df.withColumn("__new", new).withColumn(name, F.sum("__new").over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
 
 
-def mz_bins(df: DataFrame, key: Column, min_points: int, ppm: float, name: str = "bin", scale: float = 1.0) -> DataFrame:
-    """Integer buckets with at least ``min_points`` rows, chained while the next key is 1 on or within ``ppm`` of its own value."""
+def mz_bins(df: DataFrame, key: Column, min_points: int, ppm: float, name: str = "bin", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Integer buckets (per ``keys``) with at least ``min_points`` rows, chained while the next key is 1 on or within ``ppm`` of its own value."""
     marked = df.withColumn("__key", key.cast("long"))
-    counts = marked.groupBy("__key").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= min_points).drop("__n")
-    by = Window.orderBy("__key")  # distinct buckets only
+    counts = marked.groupBy(*keys, "__key").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= min_points).drop("__n")
+    by = Window.partitionBy(*keys).orderBy("__key")  # distinct buckets only
     gap = F.col("__key") - F.lag("__key").over(by)
     new = F.coalesce((~((gap == 1) | (gap < F.col("__key") * (ppm * 1e-6)))).cast("int"), F.lit(0))
     chained = counts.withColumn("__new", new).withColumn(name, F.sum("__new").over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
-    return marked.join(chained, "__key").drop("__key")
+    return marked.join(chained, [*keys, "__key"]).drop("__key")

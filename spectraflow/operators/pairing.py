@@ -9,18 +9,23 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spectraflow.operators.islands import coarse_islands
 
+def neighbourhoods(df: DataFrame, value: str, reach: float) -> DataFrame:
+    """Rows once in their own bucket of width ``reach`` (``__own``) and once in each next one, so windows by ``__bucket`` see all neighbours within ``reach``."""
+    own = F.floor(F.col(value) / F.lit(float(reach))).cast("long")
+    spread = F.explode(F.array(*[F.struct((own + i).alias("b"), F.lit(i == 0).alias("own")) for i in (-1, 0, 1)]))
+    return df.withColumn("__to", spread).select(*df.columns, F.col("__to.b").alias("__bucket"), F.col("__to.own").alias("__own"))
 
-def selectivity(df: DataFrame, mz: str, ppm: float = 5.0, reach: float | None = None) -> DataFrame:
+
+def selectivity(df: DataFrame, mz: str, ppm: float = 5.0, reach: float = 1.0) -> DataFrame:
     """Add ``selectivity``: the product of up to two left and two right neighbours' factors.
 
     A neighbour at x ppm counts 1 beyond 100, 0 below 0.1, else 1 - exp(-x / ppm).
-    With ``reach`` (at least 100 ppm of the largest value) the windows run
-    inside islands; farther neighbours count 1 anyway.
+    ``reach`` is at least 100 ppm of the largest value: windows run inside
+    buckets of that width and their neighbours; farther values count 1 anyway.
     """
-    rows = coarse_islands(df, mz, reach) if reach else df.withColumn("island", F.lit(0))
-    by = Window.partitionBy("island").orderBy(mz)
+    rows = neighbourhoods(df, mz, reach)
+    by = Window.partitionBy("__bucket").orderBy(mz)
 
     def factor(distance: Column) -> Column:
         return F.coalesce(F.when(distance > 100, 1.0).when(distance < 0.1, 0.0).otherwise(1 - F.exp(-distance / ppm)), F.lit(1.0))
@@ -29,21 +34,21 @@ def selectivity(df: DataFrame, mz: str, ppm: float = 5.0, reach: float | None =
     left = [1e6 * (here - F.lag(mz, k).over(by)) / F.lag(mz, k).over(by) for k in (1, 2)]
     right = [1e6 * (F.lead(mz, k).over(by) - here) / here for k in (1, 2)]
     product = factor(left[0]) * factor(left[1]) * factor(right[0]) * factor(right[1])
-    return rows.withColumn("selectivity", product).drop("island")
+    return rows.withColumn("selectivity", product).where("__own").drop("__bucket", "__own")
 
 
-def paired_mapping(left: DataFrame, right: DataFrame, value: str, key: str, ppm: float = 5.0, reach: float | None = None) -> DataFrame:
+def paired_mapping(left: DataFrame, right: DataFrame, value: str, key: str, ppm: float = 5.0, reach: float = 1.0) -> DataFrame:
     """Pairs (left_key, right_key, left_value, right_value) of neighbours from different lists.
 
     All values stand in one order (value, list, key). Two neighbours from
     different lists pair if they are less than ``ppm`` of the larger apart and
-    the next value is farther than that from the larger.
+    the next value is farther than that from the larger. ``reach`` is at least
+    the widest tolerance; no window spans more than three buckets of it.
     """
     one = lambda df, n: df.select(F.col(value).cast("double").alias("v"), F.lit(n).alias("side"), F.col(key).alias("k"))
-    both = one(left, 1).unionByName(one(right, 2))
-    both = coarse_islands(both, "v", reach) if reach else both.withColumn("island", F.lit(0))
-    by = Window.partitionBy("island").orderBy("v", "side", "k")
-    near = both.select("*", *[F.lag(c).over(by).alias(f"p{c}") for c in ("v", "side", "k")], F.lead("v").over(by).alias("nv"))
+    both = neighbourhoods(one(left, 1).unionByName(one(right, 2)), "v", reach)
+    by = Window.partitionBy("__bucket").orderBy("v", "side", "k")
+    near = both.select("*", *[F.lag(c).over(by).alias(f"p{c}") for c in ("v", "side", "k")], F.lead("v").over(by).alias("nv")).where("__own")
     limit = F.col("v") * (ppm * 1e-6)
     found = near.where((F.col("side") != F.col("pside")) & (F.col("v") - F.col("pv") < limit) & (F.coalesce(F.col("nv"), F.lit(999999.0)) - F.col("v") > limit))
     first = F.col("side") == 2

@@ -33,9 +33,9 @@ def apart(peaks: np.ndarray, heights: np.ndarray, distance: float) -> np.ndarray
     return keep
 
 
-def prominence(v: np.ndarray, peak: int, wlen: int | None = None) -> tuple[float, int, int]:
-    """Prominence and the lowest positions left and right before higher ground, inside a window of ``wlen`` cells made odd."""
-    half = len(v) if wlen is None else (int(wlen) | 1) // 2
+def prominence(v: np.ndarray, peak: int, wlen: float | None = None) -> tuple[float, int, int]:
+    """Prominence and the lowest positions left and right before higher ground, inside a window of ``wlen`` cells, rounded up to an odd number."""
+    half = len(v) if wlen is None else (math.ceil(wlen) | 1) // 2
     low, high = max(0, peak - half), min(len(v) - 1, peak + half)
     left, right = v[low : peak + 1][::-1], v[peak : high + 1]
     reach = lambda side: int(np.argmax(side > v[peak])) or len(side)
@@ -44,21 +44,22 @@ def prominence(v: np.ndarray, peak: int, wlen: int | None = None) -> tuple[float
     return float(v[peak] - max(left[i], right[j])), peak - i, peak + j
 
 
+def crossing(flank: np.ndarray, level: float) -> float:
+    """How far from its first cell a flank first comes down to ``level``, between cells by interpolation; its length if it never does."""
+    low = np.flatnonzero(flank <= level)
+    if not len(low):
+        return float(len(flank) - 1)
+    k = int(low[0])
+    return k - (level - flank[k]) / (flank[k - 1] - flank[k]) if k else 0.0
+
+
 def width(v: np.ndarray, peak: int, prom: float, left_base: int, right_base: int, rel: float = 0.5) -> float:
-    """Width at ``rel`` of the prominence below the top, between the bases, by interpolation."""
+    """Width at ``rel`` of the prominence below the top, between the bases."""
     level = v[peak] - prom * rel
-    i = peak
-    while i > left_base and v[i] > level:
-        i -= 1
-    left = i + (level - v[i]) / (v[i + 1] - v[i]) if v[i] < level else float(i)
-    j = peak
-    while j < right_base and v[j] > level:
-        j += 1
-    right = j - (level - v[j]) / (v[j - 1] - v[j]) if v[j] < level else float(j)
-    return right - left
-
-
-def find_peaks(v, height: float | None = None, distance: float | None = None, min_prominence: float | None = None, min_width: float | None = None, wlen: int | None = None) -> list[dict]:
+    return crossing(v[left_base : peak + 1][::-1], level) + crossing(v[peak : right_base + 1], level)
+
+
+def find_peaks(v, height: float | None = None, distance: float | None = None, min_prominence: float | None = None, min_width: float | None = None, wlen: float | None = None) -> list[dict]:
     """Maxima that meet all limits (from each limit on), in order: apex, height, prominence, left_base, right_base, width; positions from 0."""
     v = np.asarray(v, dtype=float)
     peaks = local_maxima(v)

@@ -19,7 +19,8 @@ def preferred(df: DataFrame, snr: float = 2.0, shape: float = 0.7, selectivity:
 
 def wide(df: DataFrame, key: str, column: str, values: list[str], cell: Column) -> DataFrame:
     """One row per key and a column per known value; 0 where absent."""
-    return df.groupBy(key).pivot(column, values).agg(cell).fillna(0, values)
+    filled = [F.coalesce(F.col(f"`{v}`"), F.lit(0)).alias(v) for v in values]  # names may hold dots
+    return df.groupBy(key).pivot(column, values).agg(cell).select(key, *filled)
 
 
 def top_n(df: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:

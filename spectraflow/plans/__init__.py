@@ -1 +1 @@
-"""See the modules."""
+"""Whole runs: from files to feature tables."""

@@ -6,7 +6,7 @@ import pytest
 from spectraflow import catalog
 
 DATA = "/root/testdata/sf0.01"
-TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
+TABLES = "region nation customer supplier part orders lineitem events embeddings pages documents".split()
 
 
 @pytest.fixture(scope="module")
@@ -25,11 +25,12 @@ def plain(v):
 def test_query(spark, duck, name):
     got = catalog.QUERIES[name](spark, DATA)
     rows = got.collect()
+    assert rows
     if name not in catalog.ORACLE_SQL:
         return
     found = duck.execute(catalog.ORACLE_SQL[name])
     names = [d[0] for d in found.description]
     assert sorted(names) == sorted(got.columns)
     order = sorted(names)
-    want = sorted(tuple(plain(dict(zip(names, r))[c]) for c in order) for r in found.fetchall())
-    assert sorted(tuple(plain(r[c]) for c in order) for r in rows) == want
+    want = sorted((tuple(plain(dict(zip(names, r))[c]) for c in order) for r in found.fetchall()), key=repr)
+    assert sorted((tuple(plain(r[c]) for c in order) for r in rows), key=repr) == want

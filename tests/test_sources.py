@@ -69,14 +69,31 @@ def test_peak_shapes():
     found = peaks.find_peaks([0, 3, 1, 5, 0])
     assert [(p["apex"], p["prominence"], p["left_base"], p["right_base"]) for p in found] == [(1, 2.0, 0, 2), (3, 5.0, 0, 4)]
     assert [p["apex"] for p in peaks.find_peaks([0, 3, 1, 3, 0], distance=3)] == [3]
-    x = np.arange(41)
-    assert math.isclose(peaks.gaussian_area(1000 * np.exp(-((x - 20) ** 2) / 18), 0, 41), 7519.884823893001, rel_tol=1e-9)
+    x = np.arange(60)
+    for height, middle, sigma in ((800, 31, 4.0), (50, 25.5, 2.5)):
+        assert math.isclose(peaks.gaussian_area(height * np.exp(-((x - middle) ** 2) / (2 * sigma**2)), 0, 60), height * sigma * math.sqrt(2 * math.pi), rel_tol=1e-6)
     assert peaks.gaussian_area([1, 2], 0, 2) == 0.0
+    assert peaks.prominence(np.array([5.0, 1, 4, 0, 6, 2, 3, 9]), 4, 5.5) == (4.0, 3, 5)
+
+
+def test_widths_by_walking_down():
+    """Width at half prominence against fine steps along the interpolated curve."""
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        v = np.convolve(rng.random(80), np.ones(5) / 5, mode="same") * 100
+        fine = np.arange(0, 79, 0.001)
+        curve = np.interp(fine, np.arange(80), v)
+        for p in peaks.find_peaks(v):
+            level = p["height"] - p["prominence"] / 2
+            at = int(round(p["apex"] * 1000))
+            left = at - next((k for k in range(at - p["left_base"] * 1000) if curve[at - k] <= level), at - p["left_base"] * 1000)
+            right = at + next((k for k in range(p["right_base"] * 1000 - at) if at + k < len(curve) and curve[at + k] <= level), p["right_base"] * 1000 - at)
+            assert abs((right - left) / 1000 - p["width"]) < 0.005
 
 
 def test_detect(spark):
-    s = np.arange(101)
-    rows = [(1, [float(int(1000 + 200000 * math.exp(-((i - 50) ** 2) / 50))) for i in s]), (2, []), (3, None), (4, [0.0] * 50)]
+    s = np.arange(90)
+    rows = [(1, [float(int(500 + 40000 * math.exp(-((i - 37) ** 2) / 32))) for i in s]), (2, []), (3, None), (4, [0.0] * 50)]
     got = peaks.detect(spark.createDataFrame(rows, "track long, v array<double>"), "track", "v").collect()
-    assert [(r.track, r.apex, r.height) for r in got] == [(1, 50, 201000.0)]
-    assert got[0].goodness > 0.999 and abs(got[0].sigma - 5) < 0.1
+    assert [(r.track, r.apex, r.height) for r in got] == [(1, 37, 40500.0)]
+    assert got[0].goodness > 0.999 and abs(got[0].sigma - 4) < 0.2
