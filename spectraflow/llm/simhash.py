@@ -189,6 +189,19 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
+def spanning(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Positions of links a - b among n nodes that connect all that the links connect; every component picks its first link outwards, until none is left."""
+    label, at, picked = np.arange(n), np.arange(len(a)), [np.zeros(0, dtype=np.int64)]
+    while True:
+        at = at[label[a[at]] != label[b[at]]]
+        if not len(at):
+            return np.unique(np.concatenate(picked))
+        ends = np.concatenate([label[a[at]], label[b[at]]])
+        chosen = at[np.unique(np.unique(ends, return_index=True)[1] % len(at))]
+        picked.append(chosen)
+        label = forest(label[a[chosen]], label[b[chosen]], n)[label]
+
+
 def shard_links(values: np.ndarray, stored: np.ndarray, asks: np.ndarray, radius: int, mask: int, reach: int, cell: int = CELL) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links between the values that ask and those ``stored`` in this shard.
 
@@ -293,11 +306,12 @@ def parities(values: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount((values & np.uint64(511)).astype(np.int64), minlength=512) & 1).astype(np.uint8))
 
 
-def open_pairs(frame: pd.DataFrame, radius: int, masks: list[int], cell: int = CELL) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of this shard's pairs at most ``radius`` bits apart that are not in one group yet and may be alike: all of them, not a forest.
+def open_pairs(frame: pd.DataFrame, radius: int, masks: list[int], every: bool, cell: int = CELL) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of this shard's pairs at most ``radius`` bits apart that are not in one group yet and may be alike.
 
-    Reach is 0. Sizes and parities only rule out what can't be alike. A pair
-    that also agrees in an earlier tree's bits is left to that tree.
+    Reach is 0. Sizes and parities only rule out what can't be alike. With
+    ``every``, all pairs, but one that also agrees in an earlier tree's bits is
+    left to that tree; else, of each block, pairs that span what they connect.
     """
     values, key, root, size = (frame[c].to_numpy(dtype=np.int64) for c in ("fp", "key", "root", "size"))
     values, band = values.view(np.uint64), int(frame["band"].iloc[0])
@@ -315,10 +329,15 @@ def open_pairs(frame: pd.DataFrame, radius: int, masks: list[int], cell: int = C
                 keep = (key[a] < key[b]) & (root[a] != root[b]) & (q * np.minimum(size[a], size[b]) >= p * np.maximum(size[a], size[b]))
                 a, b = a[keep], b[keep]
                 keep = (q + p) * np.bitwise_count(parity[a] ^ parity[b]).sum(axis=1, dtype=np.int64) <= (q - p) * (size[a] + size[b])
-                for mask in masks[:band]:
+                for mask in masks[:band] if every else ():
                     keep &= (values[a] ^ values[b]) & np.uint64(mask) != 0
-                left.append(key[a[keep]])
-                right.append(key[b[keep]])
+                a, b = key[a[keep]], key[b[keep]]
+                if not every and len(a):
+                    own, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
+                    picked = spanning(inverse[: len(a)], inverse[len(a) :], len(own))
+                    a, b = a[picked], b[picked]
+                left.append(a)
+                right.append(b)
     return np.concatenate(left), np.concatenate(right)
 
 
@@ -389,17 +408,17 @@ def near_duplicates(documents: DataFrame, radius: int = 2, bands: int = 2, trees
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "hash")
 
 
-def verified_duplicates(documents: DataFrame, radius: int = 12, bands: int = 3, trees: int | None = None, bits: int = 10, first_trees: int = 1000) -> DataFrame:
+def verified_duplicates(documents: DataFrame, radius: int = 12, bands: int = 3, trees: int | None = None, bits: int = 10, first_trees: int = 6) -> DataFrame:
     """Like ``near_duplicates``, but links are only candidates: two texts are joined if their five-word shingles are alike, too.
 
-    Texts with one shingle set are one node, its ``key``. First a spanning
-    forest of the links that the bands and the first ``first_trees`` trees find
-    is verified, by one key a fingerprint. A failed edge of it may stand for
-    others that hold, so all trees are then searched for all pairs that are
-    still in two groups, and these are verified as well: the groups are those of
-    all candidate pairs. Pairs that sizes or parities rule out, or that are in
-    one group already, aren't made. ``trees`` and ``bits`` come from
-    ``tree_plan`` unless ``trees`` is given. Nulls, empty texts, repeated rows
+    Shingles are made of the texts that have a link; those with one shingle set
+    are one node, its ``key``. First, of the pairs that the bands and the first
+    ``first_trees`` trees find and that sizes and parities don't rule out, as
+    many are verified as span them. One that fails may stand for others that
+    hold, so all trees are then searched for all pairs that are still in two
+    groups, and these are verified as well: the groups are those of all
+    candidate pairs. ``trees`` and ``bits`` come from ``tree_plan`` unless
+    ``trees`` is given. Nulls, empty texts, repeated rows
     and empty tables are as in ``near_duplicates``.
     """
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("hash", F.xxhash64("text"))
@@ -421,7 +440,7 @@ def verified_duplicates(documents: DataFrame, radius: int = 12, bands: int = 3,
         trees, bits = tree_plan(texts.count(), radius)
     if not trees:
         raise ValueError("open_pairs needs reach 0, so trees")
-    edges = materialise(links(texts.select("fp").distinct(), radius, bands, trees=min(first_trees, trees), bits=bits).distinct(), "simhash-links")
+    edges = materialise(links(texts.select("fp").distinct(), radius, bands, trees=trees, bits=bits), "simhash-links")
     several = texts.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp")
     wanted = edges.select(F.col("a").alias("fp")).unionByName(edges.select(F.col("b").alias("fp"))).unionByName(several).distinct()
     found = rows.select(ident.alias("id"), "hash", "text").join(texts.join(wanted, "fp").select("id", "hash", "fp"), ["id", "hash"])
@@ -430,20 +449,22 @@ def verified_duplicates(documents: DataFrame, radius: int = 12, bands: int = 3,
     sets = materialise(known.dropDuplicates(["key"]).select("key", "size", "parity", "shingles"), "simhash-sets")
     members = materialise(known.select("fp", "key").distinct(), "simhash-members")
 
-    first = members.groupBy("fp").agg(F.min("key").alias("key"))
-    across = edges.join(first.toDF("a", "ka"), "a").join(first.toDF("b", "kb"), "b").select("ka", "kb")
-    within = members.join(first.withColumnRenamed("key", "ka"), "fp").select("ka", F.col("key").alias("kb"))
-    tried = across.unionByName(within).where("ka != kb").select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).distinct()
-    sure = materialise(alike(tried, sets), "simhash-sure")
-    roots = components(sure, "simhash-components")
-    grouped = members.join(sets.select("key", "size", "parity"), "key").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    dealt, masks, _ = deal(materialise(grouped, "simhash-grouped"), radius, bands, TARGET, SHARD, trees, bits, ("key", "root", "size", "parity"))
+    sized = materialise(members.join(sets.select("key", "size", "parity"), "key"), "simhash-sized")
+    carried = ("key", "root", "size", "parity")
 
-    def match(frame: pd.DataFrame) -> pd.DataFrame:
-        a, b = open_pairs(frame, radius, masks)
-        return pd.DataFrame({"a": a, "b": b})
+    def search(nodes: DataFrame, trees: int, every: bool) -> DataFrame:
+        dealt, masks, _ = deal(nodes, radius, bands, TARGET, SHARD, trees, bits, carried)
+
+        def match(frame: pd.DataFrame) -> pd.DataFrame:
+            a, b = open_pairs(frame, radius, masks, every)
+            return pd.DataFrame({"a": a, "b": b})
 
-    pairs = materialise(dealt.groupBy("shard", "i", "j").applyInPandas(match, "a long, b long").distinct(), "simhash-pairs")
+        return materialise(dealt.groupBy("shard", "i", "j").applyInPandas(match, "a long, b long").distinct(), "simhash-pairs")
+
+    sure = materialise(alike(search(sized.withColumn("root", F.col("key")), min(first_trees, trees), False), sets), "simhash-sure")
+    roots = components(sure, "simhash-components")
+    grouped = sized.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    pairs = search(materialise(grouped, "simhash-grouped"), trees, True)
     # groups so far take part as stars, so only the new pairs add edges
     roots = components(roots.toDF("a", "b").unionByName(alike(pairs, sets)), "simhash-components").withColumnRenamed("node", "key")
     classes = texts.join(keys, "hash", "left").join(roots, "key", "left").select("hash", "first_id", F.coalesce("root", "key", "hash").alias("root"), F.col("key").isNotNull().alias("keyed"))
