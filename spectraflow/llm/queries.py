@@ -70,5 +70,26 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+#: Weights 1, 2, 3 of sources by rank, falling, level or rising; the level is the largest of those that follow from capping the k least caps per weight.
+MIX_SQL = r"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || coalesce(md5(text), 'null')) AS digest FROM documents),
+  s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS r FROM d GROUP BY source),
+  w AS (SELECT *, CAST(1 + r % 3 AS DOUBLE) AS weight, (r % 3 - 1) * 0.5e0 AS tilt, CAST(source_size * 3 AS DOUBLE) AS cap FROM s),
+  l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0))
+    / sum(weight) OVER (ORDER BY cap / weight, r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+  t AS (SELECT *, least(cap, max(level) OVER () * weight) AS target FROM l),
+  p AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.weight, t.tilt, floor(t.target + 0.5e0) AS words,
+    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.digest, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+  q AS (SELECT *, CASE WHEN source_size > 0 THEN floor(words / source_size) ELSE 0 END AS passes FROM p),
+  k AS (SELECT *, greatest(least(size, words - passes * source_size - before), 0) AS last FROM q),
+  x AS (SELECT *, least((before + CASE WHEN passes > 0 THEN size ELSE last END / 2e0) / greatest(words, 1), 1e0) * weight AS x, weight * (1 - tilt) AS w0, 2 * weight * tilt AS slope FROM k),
+  y AS (SELECT *, (w0 + weight) / 4e0 AS half FROM x)
+  SELECT doc_id, size, source_size, target, CAST(size * passes + last AS BIGINT) AS taken, CASE WHEN passes = 0 AND last <= 0 THEN NULL WHEN x <= 0 THEN 0e0
+    WHEN x <= half THEN round(2 * x / (w0 + sqrt(greatest(w0 * w0 + 2 * slope * x, 0))), 6)
+    ELSE round(0.5e0 + 2 * (x - half) / (weight + sqrt(greatest(weight * weight + 2 * slope * (x - half), 0))), 6) END AS first_position FROM y"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """For the queries that SQL can express; crc32, tokenizers, fits and components it can't."""
+    return {"op1_mix": MIX_SQL}
