@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectraflow.functions import arrays, mass, text
-from spectraflow.operators import bands, clusters, islands, matching, merge, pairing, peaks, spectra, tables, tracks
+from spectraflow.functions import arrays, index, mass, text
+from spectraflow.operators import bands, clusters, indices, islands, matching, merge, pairing, peaks, sample_graph, spectra, tables, tracks
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -290,6 +290,87 @@ def spectrum_scores(spark, sf_dir):
     return found.select("spectrum_id", "library_id", F.round("cosine", 6).alias("cosine"), "n_matched", F.round("entropy", 6).alias("entropy"))
 
 
+def match_counts(spark, sf_dir):
+    return matching.matched_counts(match_features(spark, sf_dir), "left_id", "right_id")
+
+
+def retention_index(spark, sf_dir):
+    scans = points(spark, sf_dir).select("event_type", F.col("scan") + 0.25).distinct().toDF("event_type", "rtime")
+    ladder = scans.select("event_type").distinct().select("event_type", F.explode(F.sequence(F.lit(0), F.lit(14))).alias("i"))
+    ladder = ladder.select("event_type", (F.col("i") * 50 - 1).alias("standard"), (F.col("i") + 8).alias("carbons"))
+    return indices.retention_index(scans, ladder, "event_type", "rtime", "standard", "carbons").withColumn("ri", F.round("ri", 4))
+
+
+LINES = [str(i) for i in range(1, 8)]
+
+
+def _profiles(spark, sf_dir):
+    """Each part's whole quantity by line number; 0 where it has none."""
+    rows = _read(spark, sf_dir, "lineitem").select("l_partkey", F.col("l_linenumber").cast("string").alias("line"), F.col("l_quantity").cast("long").alias("q"))
+    wide = tables.wide(rows, "l_partkey", "line", LINES, F.sum("q"))
+    return wide.select("l_partkey", F.explode(F.array(*[F.struct(F.lit(v).alias("line"), F.col(v).alias("q")) for v in LINES])).alias("x")).select("l_partkey", "x.line", "x.q")
+
+
+def distilled_features(spark, sf_dir):
+    members = _read(spark, sf_dir, "part").select("p_brand", F.col("p_partkey").alias("l_partkey"))
+    return indices.distilled(members, _profiles(spark, sf_dir), "p_brand", "l_partkey", "line", "q", 0.6123).withColumn("r", F.round("r", 6))
+
+
+def penalised_neighbours(spark, sf_dir):
+    features = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_retailprice").alias("ri"))
+    found = indices.penalised_neighbours(features, features, _profiles(spark, sf_dir), "l_partkey", "ri", "line", "q", 0.255, 2.005, 0.5123)
+    return found.select("seed", "l_partkey", F.round("score", 6).alias("score"))
+
+
+def untangled_peaks(spark, sf_dir):
+    day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date")).cast("long")
+    rows = _read(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), day.alias("apex"), "l_linenumber", "l_quantity")
+    found = rows.select("l_suppkey", "id", "apex", (F.col("apex") - F.col("l_linenumber")).alias("left_base"), (F.col("apex") + F.floor("l_quantity") % 10).cast("long").alias("right_base"))
+    return indices.untangled(found, "l_suppkey", "id")
+
+
+def compound_features(spark, sf_dir):
+    return indices.one_per_compound(_read(spark, sf_dir, "lineitem"), "l_partkey", "l_suppkey", "l_extendedprice", "l_discount", "l_returnflag")
+
+
+def same_time_pairs(spark, sf_dir):
+    tops = points(spark, sf_dir).groupBy("track").agg((-F.max(F.struct("intensity", (-F.col("scan")).alias("s")))["s"]).alias("apex"))
+    pairs = tops.select(F.col("track").alias("left_track"), (F.col("track") + 1).alias("right_track"))
+    return indices.same_time(pairs, tops, "left_track", "right_track", "track", "apex", 720).select("left_track", "right_track")
+
+
+def upserted(spark, sf_dir):
+    fresh = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("c_custkey"), F.col("s_acctbal").alias("c_acctbal"))
+    return indices.upsert(_read(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), fresh, ["c_custkey"])
+
+
+def calibrated_mz(spark, sf_dir):
+    rows = _read(spark, sf_dir, "part")
+    return rows.select("p_partkey", F.round(index.calibrated(F.col("p_retailprice"), (F.col("p_size") - 25.5) * 1e-7), 6).alias("mz"))
+
+
+def least_height(spark, sf_dir):
+    return indices.least_height(_read(spark, sf_dir, "lineitem"), "l_suppkey", "l_extendedprice", 100.0, 1000.0, 20.0)
+
+
+def track_selectivity(spark, sf_dir):
+    rows = points(spark, sf_dir)
+    sums = tracks.composite(rows, ["track", "scan"], "intensity")
+    cells = F.map_from_entries(F.collect_list(F.struct("scan", F.col("intensity").cast("double"))))
+    last = sums.agg((F.max("scan") + 1).alias("scans"))  # one row
+    vectors = sums.groupBy("track").agg(cells.alias("cells")).crossJoin(last).select("track", arrays.dense(F.col("cells"), F.col("scans")).alias("v"))
+    high = tracks.regions(rows, "track", "scan", "intensity").where((F.col("n_scans") > 1) & (F.col("height") > 1000))
+    lists = high.groupBy("track").agg(F.sort_array(F.collect_list(F.struct("left_base", "right_base", "height"))).alias("p"))
+    found = vectors.join(lists, "track").select("track", "p", index.selectivities(F.col("v"), F.col("p")).alias("s"))
+    each = found.select("track", F.explode(F.arrays_zip("p", "s")).alias("x"))
+    return each.select("track", "x.p.left_base", F.round("x.s", 8).alias("selectivity"))
+
+
+def sample_tree(spark, sf_dir):
+    samples = sorted(r[0] for r in _read(spark, sf_dir, "lineitem").select(F.col("l_suppkey") % 20).distinct().collect())  # 20 at most
+    return sample_graph.alignment_tree(spark, samples, jaccard_samples(spark, sf_dir))
+
+
 def _ion_values() -> str:
     return ", ".join(f"('{k}', {mass.PROTON}e0, {d}e0)" for k, d in mass.POSITIVE_ADDUCTS.items())
 
@@ -299,9 +380,48 @@ def _knots_sql() -> str:
     return f"CASE WHEN scan <= {KNOTS[0][0]}e0 THEN {KNOTS[0][1]}e0 {steps} ELSE {KNOTS[-1][1]}e0 END"
 
 
+PROFILES = """c AS (SELECT k, line, CAST(coalesce(sum(CAST(trunc(l_quantity) AS BIGINT)), 0) AS BIGINT) AS q FROM (SELECT k, line FROM (SELECT DISTINCT l_partkey AS k FROM lineitem), (SELECT unnest(range(1, 8)) AS line))
+  LEFT JOIN lineitem ON l_partkey = k AND l_linenumber = line GROUP BY 1, 2)"""
 _DAILY = f"{POINTS}, daily AS (SELECT event_type, CAST(floor(scan / 24e0) AS BIGINT) AS day, CAST(sum(intensity) AS BIGINT) AS total FROM points GROUP BY 1, 2)"
 
 ORACLE_SQL = {
+    "match_counts": f"""WITH {PAIRS}, l AS (SELECT left_id, count(*) AS n FROM pairs GROUP BY 1), r AS (SELECT right_id, count(*) AS n FROM pairs GROUP BY 1)
+      SELECT (SELECT count(*) FROM pairs) AS pairs, (SELECT count(*) FROM l) AS left_matched, (SELECT count(*) FROM l WHERE n = 1) AS left_unique,
+        (SELECT count(*) FROM r) AS right_matched, (SELECT count(*) FROM r WHERE n = 1) AS right_unique""",
+    "retention_index": f"""WITH {POINTS}, t AS (SELECT DISTINCT event_type, scan + 0.25e0 AS rtime FROM points), e AS (SELECT event_type, max(rtime) AS m FROM t GROUP BY 1),
+      l AS (SELECT i * 50 - 1 AS s, i + 8 AS n FROM (SELECT unnest(range(15)) AS i)),
+      b AS (SELECT t.event_type, rtime, max(m) AS m, max(s) FILTER (s < rtime) AS p, max(n) FILTER (s < rtime) AS n, min(s) FILTER (s >= rtime) AS q FROM t JOIN e ON t.event_type = e.event_type CROSS JOIN l GROUP BY 1, 2)
+      SELECT event_type, rtime, round(100 * (n + (rtime - p) / (coalesce(CAST(q AS DOUBLE), m * 1.1e0) - rtime)), 4) AS ri FROM b""",
+    "distilled_features": f"""WITH {PROFILES}, z AS (SELECT p_brand, c.* FROM c JOIN part ON k = p_partkey WHERE k IN (SELECT k FROM c GROUP BY k HAVING min(q) < max(q))),
+      r AS (SELECT x.p_brand, x.k, y.k AS j, corr(x.q, y.q) AS r FROM z x JOIN z y ON x.p_brand = y.p_brand AND x.line = y.line GROUP BY 1, 2, 3),
+      s AS (SELECT p_brand, k, round(sum(r), 9) AS s FROM r GROUP BY 1, 2), b AS (SELECT p_brand, k AS quant FROM s QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY s DESC, k) = 1)
+      SELECT b.p_brand, quant, j AS l_partkey, round(r, 6) AS r FROM b JOIN r ON r.p_brand = b.p_brand AND r.k = quant WHERE r > 0.6123e0""",
+    "penalised_neighbours": f"""WITH {PROFILES}, v AS (SELECT c.*, p_retailprice AS ri FROM c JOIN part ON k = p_partkey WHERE k IN (SELECT k FROM c GROUP BY k HAVING min(q) < max(q))),
+      s AS (SELECT x.k AS seed, y.k AS l_partkey, corr(x.q, y.q) * CASE WHEN abs(x.ri - y.ri) < 0.255e0 THEN 1e0 ELSE 2 / (1 + exp(exp(1e0) * abs(x.ri - y.ri) / 2.005e0)) END AS score
+        FROM v x JOIN v y ON x.line = y.line AND abs(x.ri - y.ri) <= 2.005e0 GROUP BY x.k, y.k, x.ri, y.ri)
+      SELECT seed, l_partkey, round(score, 6) AS score FROM s WHERE score >= 0.5123e0""",
+    "untangled_peaks": """WITH p AS (SELECT l_suppkey, l_orderkey * 8 + l_linenumber AS id, date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS apex, l_linenumber, l_quantity FROM lineitem),
+      q AS (SELECT l_suppkey, id, apex, apex - l_linenumber AS l, apex + CAST(floor(l_quantity) AS BIGINT) % 10 AS r FROM p),
+      n AS (SELECT *, lag(l) OVER w AS pl, lag(r) OVER w AS pr FROM q WINDOW w AS (PARTITION BY l_suppkey ORDER BY apex, id)),
+      c AS (SELECT *, sum(CASE WHEN least(r, pr) - (CASE WHEN r > pr THEN l ELSE pl END) > 3 THEN 0 ELSE 1 END) OVER (PARTITION BY l_suppkey ORDER BY apex, id ROWS UNBOUNDED PRECEDING) AS c FROM n),
+      g AS (SELECT l_suppkey, c, list(struct_pack(id := id, apex := apex, l := l, r := r) ORDER BY apex, id) AS m, list(id ORDER BY r - l DESC, apex, id)[1] AS wid, list(apex ORDER BY r - l DESC, apex, id)[1] AS wapex,
+        min(l) AS low, max(r) AS high FROM c GROUP BY 1, 2),
+      h AS (SELECT *, len(m) AS n, list_sort([m[1].l, m[1].r, m[2].l, m[2].r]) AS s FROM g),
+      o AS (SELECT l_suppkey, m[1].id AS id, m[1].apex AS apex, m[1].l AS left_base, m[1].r AS right_base FROM h WHERE n = 1 UNION ALL SELECT l_suppkey, wid, wapex, low, high FROM h WHERE n > 2
+        UNION ALL SELECT l_suppkey, m[1].id, CASE WHEN s[1] < m[1].apex AND m[1].apex < s[2] THEN m[1].apex ELSE CAST(trunc((s[1] + s[2]) / 2e0) AS BIGINT) END, s[1], s[2] FROM h WHERE n = 2
+        UNION ALL SELECT l_suppkey, m[2].id, CASE WHEN s[3] < m[2].apex AND m[2].apex < s[4] THEN m[2].apex ELSE CAST(trunc((s[3] + s[4]) / 2e0) AS BIGINT) END, s[3], s[4] FROM h WHERE n = 2)
+      SELECT * FROM o""",
+    "compound_features": """WITH b AS (SELECT l_suppkey, l_partkey, CASE WHEN count(*) OVER (PARTITION BY l_partkey) = 1 THEN 'singleton' ELSE l_returnflag END AS l_returnflag FROM lineitem
+        QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_extendedprice DESC, l_discount DESC, l_suppkey, lineitem.l_returnflag) = 1)
+      SELECT l_suppkey, l_partkey, l_returnflag FROM b QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey DESC, l_returnflag DESC) = 1""",
+    "same_time_pairs": f"""WITH {POINTS}, t AS (SELECT track, arg_max(scan, intensity * 100000 - scan) AS apex FROM points GROUP BY 1)
+      SELECT a.track AS left_track, b.track AS right_track FROM t a JOIN t b ON b.track = a.track + 1 WHERE abs(a.apex - b.apex) < 36""",
+    "upserted": "SELECT coalesce(c_custkey, s_suppkey) AS c_custkey, coalesce(s_acctbal, c_acctbal) AS c_acctbal FROM customer FULL JOIN supplier ON c_custkey = s_suppkey",
+    "calibrated_mz": """SELECT p_partkey, round(CASE WHEN abs((p_size - 25.5e0) * 1e-7) > 2e-6 THEN p_retailprice / (1 + (p_size - 25.5e0) * 1e-7) ELSE p_retailprice END, 6) AS mz FROM part""",
+    "least_height": "WITH m AS (SELECT min(l_extendedprice) AS m FROM lineitem GROUP BY l_suppkey) SELECT greatest(floor(median(m) * 0.5e0), 100e0) AS least_height FROM m",
+    "track_selectivity": f"""WITH {REGIONS}, k AS (SELECT * FROM regions WHERE n_scans > 1 AND height > 1000), s AS (SELECT track, scan, sum(intensity) AS x FROM points GROUP BY 1, 2),
+      i AS (SELECT s.*, EXISTS (SELECT 1 FROM k WHERE k.track = s.track AND s.scan BETWEEN left_base AND right_base) AS inside FROM s)
+      SELECT k.track, left_base, round(count(*) FILTER (inside) / CAST(count(*) AS DOUBLE), 8) AS selectivity FROM k JOIN i ON i.track = k.track AND x > height * 0.5e0 GROUP BY k.track, left_base""",
     "roi_islands": f"WITH {REGIONS} SELECT * FROM regions",
     "feature_table": f"WITH {REGIONS} SELECT 'F' || track || '_' || region AS id_number, left_base, right_base, apex, height, peak_area, n_scans FROM regions WHERE n_scans > 1 AND height > 1000",
     "mz_selectivity": """WITH p AS (SELECT DISTINCT p_retailprice AS mz FROM part),
@@ -385,5 +505,6 @@ QUERIES = {
         area_sum_auc, moving_mean_clamped, noise_baseline, detrend, quality_filter, top_n_peaks, jaccard_samples, pairwise_corr, coelution_clusters, interp_clamped, lib_cosine, detect_peaks, tic, orphans, theoretical_ions,
         close_pairs, compact_tracks, extract_targets, annotate_ions, nearest_track, index_window, spike_ins, best_spectrum, richest_spectra, base_peaks, html_escaped, safe_filenames, human_sizes,
         complete_mapping, merge_tables, mass_splits, spectrum_scores,
+        match_counts, retention_index, distilled_features, penalised_neighbours, untangled_peaks, compound_features, same_time_pairs, upserted, calibrated_mz, least_height, track_selectivity, sample_tree,
     )
 }
