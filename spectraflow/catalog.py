@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spectraflow.functions import arrays, index, mass, text
-from spectraflow.operators import bands, clusters, indices, islands, matching, merge, pairing, peaks, sample_graph, spectra, tables, tracks
+from spectraflow.operators import bands, clusters, evaluation, indices, islands, matching, merge, pairing, peaks, sample_graph, spectra, tables, tracks
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -174,6 +174,14 @@ def detect_peaks(spark, sf_dir):
     return peaks.detect(vectors, "track", "v").withColumns({c: F.round(c, 4) for c in ("width", "area", "goodness", "sigma")})
 
 
+def judged_peaks(spark, sf_dir):
+    sums = tracks.composite(points(spark, sf_dir), ["event_type", "scan"], "intensity")
+    cells = F.map_from_entries(F.collect_list(F.struct("scan", F.col("intensity").cast("double"))))
+    vectors = sums.groupBy("event_type").agg(arrays.dense(cells, F.max("scan") + 1).alias("v"))  # as many cells as hours
+    limits = evaluation.Limits(low=500.0, height=5000.0, prominence=1500.0, timepoints=4)
+    return evaluation.evaluated(vectors, "event_type", "v", limits).withColumns({c: F.round(c, 4) for c in ("goodness", "selectivity")})
+
+
 def tic(spark, sf_dir):
     rows = points(spark, sf_dir)
     return rows.groupBy("scan").agg(F.sum("intensity").alias("tic"), F.max("intensity").alias("base_peak"))
@@ -506,5 +514,6 @@ QUERIES = {
         close_pairs, compact_tracks, extract_targets, annotate_ions, nearest_track, index_window, spike_ins, best_spectrum, richest_spectra, base_peaks, html_escaped, safe_filenames, human_sizes,
         complete_mapping, merge_tables, mass_splits, spectrum_scores,
         match_counts, retention_index, distilled_features, penalised_neighbours, untangled_peaks, compound_features, same_time_pairs, upserted, calibrated_mz, least_height, track_selectivity, sample_tree,
+        judged_peaks,
     )
 }

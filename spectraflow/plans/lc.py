@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from spectraflow.functions import arrays
 from spectraflow.functions.text import truth
-from spectraflow.operators import clusters, islands, peaks, tables, tracks
+from spectraflow.operators import clusters, evaluation, islands, tables, tracks
 from spectraflow.sources import mzml
 from spectraflow.sources.tables import write_features
 
@@ -28,10 +28,20 @@ class Parameters:
     min_intensity: float = 100.0
     min_timepoints: int = 5
     min_peak_height: float = 1000.0
+    min_peak_ratio: float = 0.001
+    wlen: int = 25
     signal_noise_ratio: float = 2.0
     gaussian_shape: float = 0.5
     consecutive_gap: int = 2
 
+    @property
+    def limits(self) -> evaluation.Limits:
+        """The peak limits; a prominence is at least a third of the least height."""
+        return evaluation.Limits(
+            self.min_intensity, self.min_peak_height, self.min_peak_ratio, int(0.33 * self.min_peak_height),
+            timepoints=self.min_timepoints, wlen=self.wlen, snr=self.signal_noise_ratio, shape=self.gaussian_shape,
+        )
+
     def with_text(self, values: dict[str, str]) -> Parameters:
         known = {f.name: type(getattr(self, f.name)) for f in fields(self)}
         if unknown := set(values) - set(known):
@@ -79,7 +89,7 @@ def mass_grid(found: DataFrame, ppm: float = 5.0, reach: float = 0.1) -> DataFra
 
 
 def process(spark: SparkSession, path: str, p: Parameters = Parameters()) -> DataFrame:
-    """The feature table of a folder of mzML files: id_number, mz, apex, bases, height, area, shape, detection_counts and an area per file.
+    """The feature table of a folder of mzML files: id_number, mz, apex, bases, height, area, goodness, selectivity, snr, detection_counts and an area per file.
 
     Peaks are found on composite tracks, the sum over files per grid row and
     scan. Scans aren't aligned between files; see ``alignment`` for that.
@@ -92,7 +102,7 @@ def process(spark: SparkSession, path: str, p: Parameters = Parameters()) -> Dat
     sums = tracks.composite(rows, ["row", "row_mz", "scan"], "intensity")
     pairs = F.map_from_entries(F.collect_list(F.struct("scan", F.col("intensity").cast("double"))))
     vectors = sums.groupBy("row", "row_mz").agg(arrays.dense(pairs, F.max("scan") + 1).alias("v"))  # bounded by a run's scans
-    peaks_ = peaks.detect(vectors, "row", "v", p.min_peak_height, shape=p.gaussian_shape).join(vectors.select("row", F.col("row_mz").alias("mz")), "row")
+    peaks_ = evaluation.evaluated(vectors, "row", "v", p.limits).join(vectors.select("row", F.col("row_mz").alias("mz")), "row")
     features = settled(peaks_.withColumn("id_number", F.concat_ws("_", F.lit("F"), "row", "apex")))
     files = [f.rsplit("/", 1)[-1] for f in mzml.list_files(path)]
     own = rows.join(features.select("row", "id_number", "left_base", "right_base"), "row").where(F.col("scan").between(F.col("left_base"), F.col("right_base")))
