@@ -62,6 +62,13 @@ def batch_of(names: list[str], columns: list):
     return pa.RecordBatch.from_arrays([pa.array(c[0], type=c[1]) if isinstance(c, tuple) else c for c in columns], names=names)
 
 
+def slices_of(batch, most: int = 1 << 22):
+    """Parts of an Arrow batch of about ``most`` bytes, a row at least, so that Python holds that much of it at a time."""
+    rows = max(1, batch.num_rows * most // max(1, batch.nbytes))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def filesystem(uri: str):
     """(pyarrow filesystem, path) of a URI; any store pyarrow knows."""
     from pyarrow import fs

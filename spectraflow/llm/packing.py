@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spectraflow.llm.common import batch_of, materialise
+from spectraflow.llm.common import batch_of, materialise, slices_of
 from spectraflow.llm.encoding import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long"
@@ -37,8 +37,8 @@ def cut(documents: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen = encoder(tokenizer_path), 0
-        for batch in batches:
-            memo: dict[str | None, bytes] = {}  # copies in a batch are encoded once
+        for batch in (part for whole in batches for part in slices_of(whole)):
+            memo: dict[str | None, bytes] = {}  # copies in a slice are encoded once
             row, piece, start, length, crc, parts = [], [], [], [], [], []
             for at, text in enumerate(batch.column("text").to_pylist()):
                 ids = memo.get(text)
@@ -274,12 +274,18 @@ def pack(pieces: DataFrame, capacity: int = 1024, group_rows: int = 10_000, posi
     return packed.unionByName(alone.withColumn("offset", F.lit(0).cast("long")))
 
 
-def written_order(documents: DataFrame) -> DataFrame:
-    """Add ``__position``: a row's place, from 0, in the order in which a table was written, by file name and row. Parquet only."""
+def written_order(documents: DataFrame, most_files: int = 100_000) -> DataFrame:
+    """Add ``__position``: a row's place, from 0, in the order in which a table was written, by file name and row. Parquet only.
+
+    Up to ``most_files`` files their starts, some 100 bytes each, are broadcast,
+    so that texts stay where they lie; of more the optimizer chooses the join.
+    """
     rows = documents.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
     sizes = rows.groupBy("__file").agg(F.count(F.lit(1)).alias("__n"))  # a row per file
     earlier = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("__file", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))
+    if len(documents.inputFiles()) <= most_files:
+        starts = F.broadcast(starts)
     return rows.join(starts, "__file").withColumn("__position", F.col("__start") + F.col("__row")).drop("__file", "__row", "__start")
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spectraflow.llm.common import batch_of
+from spectraflow.llm.common import batch_of, slices_of
 
 WORD = re.compile(r"\w+")
 
@@ -165,7 +165,7 @@ def score(documents: DataFrame, model: Model, names: tuple[str, str, str] = ("se
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, thresholds, prefixes, reject_at = json.loads(packed.value)
         own = Model(weights, tuple(thresholds), tuple(prefixes), reject_at)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices_of(whole)):
             severity, grade = own.expected(own.scores(batch.column("text").to_pylist()))
             yield batch_of([*batch.schema.names, *names], [*batch.columns, (severity, pa.float64()), (grade, pa.int32()), (severity >= reject_at, pa.bool_())])
 
