@@ -282,6 +282,7 @@ def links(distinct: DataFrame, radius: int = 2, bands: int = 3, target: int = TA
     dealt, masks, reach = deal(distinct, radius, bands, target, shard, trees, bits)
 
     def match(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("fp")  # rows arrive in any order, on which the shard's tree must not depend
         values = frame["fp"].to_numpy(dtype=np.int64)
         a, b = shard_links(values.view(np.uint64), frame["in_shard"].to_numpy(dtype=bool), frame["asks"].to_numpy(dtype=bool), radius, masks[int(frame["band"].iloc[0])], reach)
         return pd.DataFrame({"a": values[a], "b": values[b]})
@@ -456,7 +457,7 @@ def verified_duplicates(documents: DataFrame, radius: int = 12, bands: int = 3,
         dealt, masks, _ = deal(nodes, radius, bands, TARGET, SHARD, trees, bits, carried)
 
         def match(frame: pd.DataFrame) -> pd.DataFrame:
-            a, b = open_pairs(frame, radius, masks, every)
+            a, b = open_pairs(frame.sort_values(["fp", "key"]), radius, masks, every)  # see links
             return pd.DataFrame({"a": a, "b": b})
 
         return materialise(dealt.groupBy("shard", "i", "j").applyInPandas(match, "a long, b long").distinct(), "simhash-pairs")

@@ -444,3 +444,12 @@ def test_recall_of_the_planned_trees(spark):
     pairs = [(d, c) for (d, _), (c, _), a in zip(base, copies, alike) if a]
     assert len(pairs) > 150 and sum(group[d] == group[c] for d, c in pairs) >= 0.95 * len(pairs)
     assert simhash.tree_plan(10**4, 12)[1] < simhash.tree_plan(10**7, 12)[1]
+
+
+def test_wide_links_do_not_depend_on_the_order_of_rows(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    values = {int(c) ^ sum(1 << int(b) for b in rng.choice(63, rng.integers(0, 14), replace=False)) for c in centres for _ in range(12)}
+    frame = spark.createDataFrame([(v,) for v in sorted(values)], "fp long")
+    found = [simhash.links(frame.repartition(n).orderBy(F.rand(n)), 12, 3, 1000, 4000, trees=3, bits=6).collect() for n in (2, 5)]
+    assert set(found[0]) == set(found[1]) and len(found[0]) > 500
