@@ -24,12 +24,25 @@ def safe_filename(value: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(value, r'[<>:"/\\|?*\x00-\x1f]', "_"), r"[. ]+$", "")
 
 
+def one_decimal(x: Column) -> Column:
+    """Text of a double as C's ``%.1f`` writes it: of its exact value, ties to the even digit. (``format_string`` rounds its shortest spelling, ties up.)"""
+    size = F.abs(x)
+    whole = F.floor(size)
+    bits = F.floor((size - whole) * 2.0**59)  # exact from 1 / 64 on
+    tenth, rest = F.shiftright(bits * 10, 59), F.pmod(bits * 10, F.lit(1 << 59))
+    up = (rest > 1 << 58) | ((rest == 1 << 58) & (tenth % 2 == 1))
+    n = whole * 10 + tenth + up.cast("long")
+    plain = F.concat(F.when(x < 0, "-").otherwise(""), F.floor(n / 10).cast("string"), F.lit("."), (n % 10).cast("string"))
+    return F.when(size < 2.0**49, plain).when(x.isNotNull(), F.format_string("%.1f", x))  # above, and for NaN, nothing is rounded
+
+
 def human_size(n: Column, suffix: str = "B") -> Column:
-    """IEC text of a size: one decimal and the first unit in which it is below 1024."""
-    out = F.format_string("%.1fYi" + suffix, n / 1024.0**8)
+    """IEC text of a size: one decimal and the first unit in which it is below 1024; null for null."""
+    size, unit = F.lit(1024.0**8), F.lit("Yi" + suffix)
     for k in reversed(range(len(UNITS))):
-        out = F.when(F.abs(n) < 1024.0 ** (k + 1), F.format_string(f"%.1f{UNITS[k]}{suffix}", n / 1024.0**k)).otherwise(out)
-    return out
+        below = F.abs(n) < 1024.0 ** (k + 1)
+        size, unit = F.when(below, 1024.0**k).otherwise(size), F.when(below, UNITS[k] + suffix).otherwise(unit)
+    return F.concat(one_decimal(n / size), unit)
 
 
 def as_html(fields: Column, title: str = "") -> Column:

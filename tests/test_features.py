@@ -99,6 +99,23 @@ def test_text(spark):
     assert text.truth("TRUE") and not text.truth("0")
 
 
+def test_sizes_round_as_printf(spark):
+    """Of the exact value, ties to the even digit; a null stays null."""
+    rng = random.Random(4)
+    sizes = [0, 1023, 1280, 1792, -1280, 1310720, 2**62, *(1280 * k for k in range(1, 200)), *(rng.randrange(1 << rng.randrange(1, 63)) for _ in range(300))]
+
+    def plain(n):
+        x, k = float(n), 0
+        while abs(x) >= 1024:
+            x, k = x / 1024, k + 1
+        return f"{x:.1f}{text.UNITS[k]}B"
+
+    got = spark.createDataFrame([(n,) for n in [*sizes, None]], "n long").select("n", text.human_size(F.col("n")).alias("t")).collect()
+    assert {r["n"]: r["t"] for r in got} == {n: plain(n) for n in sizes} | {None: None}
+    values = [0.05, 0.15, 0.25, 0.45, -0.75, 999.95, *(rng.random() * 10 ** rng.randrange(-3, 9) for _ in range(300))]
+    assert all(r["t"] == f"{r['x']:.1f}" for r in spark.createDataFrame([(x,) for x in values], "x double").select("x", text.one_decimal(F.col("x")).alias("t")).collect())
+
+
 def test_a_whole_run(spark, tmp_path):
     """Two samples with three compounds each give the three features, with every sample's area; they are written and read back."""
     shapes = [(150.05, 12, 30000.0), (220.1, 25, 50000.0), (301.2, 40, 20000.0)]
