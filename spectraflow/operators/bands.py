@@ -38,10 +38,27 @@ def mutual_best(pairs: DataFrame, left_id: str, right_id: str, distance: Column)
 
 
 def nearest_within(left: DataFrame, right: DataFrame, target: str, right_value: str, reach: float, condition: Column, left_id: str, tie: str) -> DataFrame:
-    """For each left row the right value nearest to ``target``, if it meets ``condition``; the smaller ``tie`` wins."""
-    pairs = band_join(left, right, target, right_value, reach, F.abs(F.col(target) - F.col(right_value)) < reach)
-    near = best_match(pairs, left_id, F.abs(F.col(target) - F.col(right_value)), tie)
-    return near.where(condition)
+    """For each left row the right value nearest to ``target``, if it meets ``condition``; the smaller ``tie`` wins.
+
+    Of rows with one right value only the smallest ``tie`` can win, and of all
+    values only the last at or before a target and the first at or after it; so
+    each distinct target meets two at most, found by windows in buckets of
+    ``reach``, and nothing grows with the number of pairs.
+    """
+    others = [c for c in right.columns if c not in (right_value, tie)]
+    own = lambda c: F.floor(F.col(c) / F.lit(float(reach))).cast("long")
+    first = F.min(F.struct(tie, *others)).alias("__row")
+    rows = right.where(F.col(right_value).isNotNull()).groupBy(F.col(right_value).alias("__v")).agg(first).select(F.struct(F.col("__v").alias(right_value), "__row.*").alias("__r"))
+    values = rows.select(F.explode(F.sequence(own(f"__r.{right_value}") - 1, own(f"__r.{right_value}") + 1)).alias("__band"), F.col(f"__r.{right_value}").alias("__v"), "__r")
+    targets = left.where(F.col(target).isNotNull()).select(F.col(target).alias("__v")).distinct().select(own("__v").alias("__band"), "__v", F.lit(None).cast(values.schema["__r"].dataType).alias("__r"))
+    by = Window.partitionBy("__band").orderBy("__v")
+    seen = lambda order: F.last("__r", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, 0))
+    found = values.unionByName(targets).withColumn("__low", seen(by)).withColumn("__high", seen(Window.partitionBy("__band").orderBy(F.desc("__v")))).where("__r IS NULL")
+    apart = lambda c: F.abs(F.col("__v") - F.col(f"{c}.{right_value}"))
+    near = F.array_compact(F.array(*[F.when(apart(c) < reach, F.struct(apart(c).alias("d"), F.col(f"{c}.{tie}").alias("t"), F.col(c).alias("r"))) for c in ("__low", "__high")]))
+    nearest = found.select(F.col("__v"), F.array_min(near)["r"].alias("__r")).where("__r IS NOT NULL")
+    pairs = left.join(nearest, F.col(target) == F.col("__v")).select(*left.columns, *[F.col(f"__r.{c}").alias(c) for c in right.columns])
+    return best_match(pairs, left_id, F.abs(F.col(target) - F.col(right_value)), tie).where(condition)
 
 
 def orphans(left: DataFrame, right: DataFrame, on: str) -> DataFrame:

@@ -3,8 +3,10 @@
 import math
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from spectraflow import catalog
+from spectraflow.operators import bands
 
 
 def test_lib_cosine_searches_the_whole_library(spark, tmp_path):
@@ -43,3 +45,19 @@ def test_paired_mapping_takes_every_positive_balance(spark, tmp_path):
     spark.createDataFrame([(8, 50.01), (9, 900.1), (10, -7.0)], "s_suppkey long, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
     got = {(r["left_key"], r["right_key"]) for r in catalog.paired_mapping(spark, str(tmp_path)).collect()}
     assert got == {(1, 8), (4, 9)}
+
+
+def test_nearest_compares_no_pairs_of_copies(spark):
+    """Many rows of one value: each target meets two values at most, ties by the smaller key; null and far values find nothing."""
+    rng = np.random.default_rng(6)
+    left = [(i, None if i % 90 == 0 else float(rng.integers(0, 400)) / 4) for i in range(700)] + [(9000, 1e6)]
+    right = [(int(k), float(rng.choice([3.0, 10.25, 10.75, 40.0, 41.5, 77.0]))) for k in rng.permutation(6000)] + [(7000, None)]
+    frames = spark.createDataFrame(left, "l long, t double").repartition(3), spark.createDataFrame(right, "r long, v double").repartition(3)
+    found = bands.nearest_within(*frames, "t", "v", 8.0, F.abs(F.col("t") - F.col("v")) < 5, "l", "r")
+    want = {}
+    for k, t in left:
+        near = min(((abs(t - v), r) for r, v in right if v is not None), default=None) if t is not None else None
+        if near and near[0] < 5:
+            want[k] = near[1]
+    assert {r["l"]: r["r"] for r in found.collect()} == want and len(want) > 200
+    assert not [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line and "__band" in line]
