@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,20 @@ def band_join(left: DataFrame, right: DataFrame, left_value: str, right_value: s
     return a.join(b, (F.col("__band") == F.col("__other")) & condition, how).drop("__band", "__other")
 
 
+def log_band_join(left: DataFrame, right: DataFrame, left_mz: str, right_mz: str, ppm: float, condition: Column) -> DataFrame:
+    """Pairs that meet ``condition``, which implies at most ``ppm`` of the left value apart and values above 0.
+
+    Buckets are of the logarithm, one tolerance wide, so pairs compared grow
+    with pairs found. Neither side is broadcast: the right has three rows for
+    one, which its size on disk, by which Spark would choose, doesn't tell.
+    """
+    width = -math.log1p(-ppm * 1e-6) * (1 + 1e-6)
+    of = lambda c: F.floor(F.log(F.col(c)) / width).cast("long")
+    a = left.where(F.col(left_mz) > 0).withColumn("__band", of(left_mz))
+    b = right.where(F.col(right_mz) > 0).withColumn("__other", F.explode(F.sequence(of(right_mz) - 1, of(right_mz) + 1)))
+    return a.join(b.hint("merge"), (F.col("__band") == F.col("__other")) & condition).drop("__band", "__other")
+
+
 def ppm_join(left: DataFrame, right: DataFrame, left_mz: str, right_mz: str, ppm: float, reach: float, strict: bool = True, relative_to: str | None = None, how: str = "inner") -> DataFrame:
     """Pairs within ``ppm`` of ``relative_to`` (the left value by default); ``reach`` is at least the widest tolerance."""
     apart, limit = F.abs(F.col(left_mz) - F.col(right_mz)), F.col(relative_to or left_mz) * (ppm * 1e-6)

@@ -53,11 +53,11 @@ def extract_targets(features: DataFrame, targets: DataFrame, mz: str, target: st
 
 
 def annotate(features: DataFrame, database: DataFrame, feature_id: str, mz: str, compound: str, neutral: str, mode: str = "pos", ppm: float = 5.0, reach: float = 0.05, adducts: bool = True) -> DataFrame:
-    """Features whose m/z is above an ion's by its tolerance at most, or less than that below: feature, compound, ion, ppm_error, by feature and size of the error."""
+    """Features whose m/z is above an ion's by its tolerance at most, or less than that below: feature, compound, ion, ppm_error, by feature and size of the error. Buckets follow ``ppm``; ``reach`` isn't needed."""
     ions = database.select(compound, F.explode(mass.ions(F.col(neutral), mode, adducts)).alias("x")).select(compound, "x.ion", "x.ion_mz")
     limit = F.col(mz) * (ppm * 1e-6)
     inside = (F.col("ion_mz") > F.col(mz) - limit) & (F.col("ion_mz") <= F.col(mz) + limit)
-    found = bands.band_join(features.select(feature_id, mz), ions, mz, "ion_mz", reach, inside)
+    found = bands.log_band_join(features.select(feature_id, mz), ions, mz, "ion_mz", ppm, inside)
     return found.select(feature_id, compound, "ion", mass.ppm_error(F.col(mz), F.col("ion_mz")).alias("ppm_error"))
 
 

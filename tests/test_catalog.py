@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from spectraflow import catalog
-from spectraflow.operators import bands
+from spectraflow.functions import mass
+from spectraflow.operators import bands, matching
 
 
 def test_lib_cosine_searches_the_whole_library(spark, tmp_path):
@@ -61,3 +62,16 @@ def test_nearest_compares_no_pairs_of_copies(spark):
             want[k] = near[1]
     assert {r["l"]: r["r"] for r in found.collect()} == want and len(want) > 200
     assert not [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line and "__band" in line]
+
+
+def test_annotation_broadcasts_no_ions(spark):
+    """A compound becomes a dozen rows, which its size on disk doesn't tell; values at or below 0 match nothing."""
+    rng = np.random.default_rng(8)
+    neutral = [(k, float(m)) for k, m in enumerate(rng.uniform(100, 130, 400))] + [(900, -20.0)]
+    lines = [(k, float(m)) for k, m in enumerate(rng.uniform(100, 130, 3000))] + [(9000, 0.0), (9001, -5.0)]
+    frames = spark.createDataFrame(lines, "f long, mz double").repartition(3), spark.createDataFrame(neutral, "c long, m double").repartition(3)
+    found = matching.annotate(*frames, "f", "mz", "c", "m", "pos", 20.0, 1.0)
+    ions = [(c, ion, m + mass.PROTON + d) for c, m in neutral for ion, d in mass.POSITIVE_ADDUCTS.items()]
+    want = {(f, c, ion) for f, mz in lines for c, ion, x in ions if mz - mz * 20e-6 < x <= mz + mz * 20e-6}
+    assert {(r["f"], r["c"], r["ion"]) for r in found.collect()} == want and len(want) > 100
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
