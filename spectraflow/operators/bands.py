@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +43,44 @@ def ppm_join(left: DataFrame, right: DataFrame, left_mz: str, right_mz: str, ppm
     return band_join(left, right, left_mz, right_mz, reach, apart < limit if strict else apart <= limit, how)
 
 
+def by_band(left: DataFrame, right: DataFrame, value: str, reach: float, width: float, kernel: Callable[[pa.Table, pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """The rows ``kernel`` makes of the left and right rows of each band of ``width``; right rows go to all bands that ``reach`` touches.
+
+    Both sides have the same columns; every pair at most ``reach`` apart is in
+    one band. Rows are shuffled, pairs never are: a task holds one band at a
+    time, and the kernel makes pairs of it in parts that it bounds.
+    """
+    of = lambda shift: F.floor((F.col(value) + F.lit(float(shift))) / F.lit(float(width))).cast("long")
+    known, far = F.col(value).isNotNull(), reach * (1 + 1e-6)
+    one = left.where(known).select("*", of(0).alias("__band"), F.lit(0).alias("__side"))
+    two = right.where(known).select("*", F.explode(F.sequence(of(-far), of(far))).alias("__band"), F.lit(1).alias("__side"))
+    rows = one.unionByName(two).repartition("__band").sortWithinPartitions("__band")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
+
+        def solved() -> Iterator[pa.RecordBatch]:
+            if held:
+                table = pa.Table.from_batches(held)
+                side = table.column("__side").to_numpy()
+                a, b = (table.filter(pa.array(side == k)).drop_columns(["__band", "__side"]).combine_chunks() for k in (0, 1))
+                if len(a) and len(b):
+                    yield from kernel(a, b)
+
+        for batch in batches:
+            band = batch.column("__band").to_numpy()
+            starts = [0, *(np.flatnonzero(np.diff(band)) + 1).tolist(), len(band)]
+            for low, high in zip(starts, starts[1:]):
+                if low < high:
+                    if band[low] != now:
+                        yield from solved()
+                        held, now = [], band[low]
+                    held.append(batch.slice(low, high - low))
+        yield from solved()
+
+    return rows.mapInArrow(run, schema)
+
+
 def best_match(pairs: DataFrame, side: str, distance: Column, tie: str) -> DataFrame:
     """One partner per ``side`` value: the nearest, then the first by ``tie``."""
     order = Window.partitionBy(side).orderBy(distance, tie)

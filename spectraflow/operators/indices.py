@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,14 +51,39 @@ def distilled(members: DataFrame, cells: DataFrame, group: str, key: str, sample
 
 
 def penalised_neighbours(seeds: DataFrame, features: DataFrame, cells: DataFrame, key: str, ri: str, sample: str, value: str, least: float = 1.0, most: float = 100.0, cut: float = 0.5) -> DataFrame:
-    """Features whose correlation with a seed, times the penalty of their distance in index, is ``cut`` (above 0) or more: seed, key, score. A seed is its own neighbour."""
-    s = seeds.select(F.col(key).alias("seed"), F.col(ri).alias("__ri"))
-    near = bands.band_join(s, features.select(key, ri), "__ri", ri, most * (1 + 1e-9), F.abs(F.col("__ri") - F.col(ri)) <= most)
-    near = near.select("seed", key, ix.penalty(F.abs(F.col("__ri") - F.col(ri)), least, most).alias("__w"))
-    z = standardised(cells.select(key, sample, F.col(value).cast("double").alias(value)), key, value).select(key, sample, "z")
-    other = z.select(F.col(key).alias("seed"), sample, F.col("z").alias("__z"))
-    score = near.join(z, key).join(other, ["seed", sample]).groupBy("seed", key).agg((F.sum(F.col("z") * F.col("__z")) * F.max("__w")).alias("score"))
-    return score.where(F.col("score") >= cut)
+    """Features whose correlation with a seed, times the penalty of their distance in index, is ``cut`` (above 0) or more: seed, key, score. A seed is its own neighbour.
+
+    Profiles travel with their features to bands of ``most``, where blocks of
+    seeds are multiplied with all features near; only rows of the result leave
+    a task. The penalty is 1 at most, so correlations below ``cut`` go first.
+    """
+    z = standardised(cells.select(key, sample, F.col(value).cast("double").alias(value)), key, value).where(F.col("z").isNotNull() & F.col(sample).isNotNull())
+    profiles = z.groupBy(key).agg(F.collect_list(F.col(sample)).alias("__samples"), F.collect_list("z").alias("__z"))
+    kind = dict(profiles.dtypes)[key]
+
+    def flat(t: pa.Table, c: str) -> pa.Array:
+        return pa.concat_arrays([x.flatten() for x in t.column(c).chunks])
+
+    def compare(a: pa.Table, b: pa.Table) -> Iterator[pa.RecordBatch]:
+        codes = pa.concat_arrays([flat(a, "__samples"), flat(b, "__samples")]).dictionary_encode()
+        column, width, z = codes.indices.to_numpy(), len(codes.dictionary), []
+        for t, at in ((a, 0), (b, len(flat(a, "__samples")))):
+            row = np.repeat(np.arange(len(t)), pc.list_value_length(t.column("__z")).to_numpy())
+            z.append(np.bincount(row * width + column[at : at + len(row)], weights=flat(t, "__z").to_numpy(), minlength=len(t) * width).reshape(len(t), width))
+        x, y = (t.column("__ri").to_numpy() for t in (a, b))
+        ids = [t.column(key).combine_chunks() for t in (a, b)]
+        ids = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in ids]
+        block = max(1, (1 << 21) // len(b))
+        for at in range(0, len(a), block):
+            r = z[0][at : at + block] @ z[1].T
+            i, j = np.nonzero(r >= cut * (1 - 1e-9))
+            apart = np.abs(x[at + i] - y[j])
+            score = r[i, j] * np.where(apart < least, 1.0, 2 / (1 + np.exp(np.minimum(apart * (math.e / most), 700.0))))
+            kept = np.flatnonzero((score >= cut) & (apart <= most))
+            yield pa.RecordBatch.from_arrays([ids[0].take(pa.array(at + i[kept])), ids[1].take(pa.array(j[kept])), pa.array(score[kept])], names=["seed", key, "score"])
+
+    side = lambda df: df.select(key, F.col(ri).cast("double").alias("__ri")).distinct().join(profiles, key)
+    return bands.by_band(side(seeds), side(features), "__ri", most, most * 2, compare, f"seed {kind}, {key} {kind}, score double")
 
 
 def untangled(peaks: DataFrame, track: str, key: str, least: int = 3) -> DataFrame:

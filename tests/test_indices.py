@@ -80,3 +80,24 @@ def test_spanning_tree_is_least_and_rooted_in_the_middle(spark):
         sample_graph.spanning_tree(2, {})
     similar = spark.createDataFrame([("x", "y", 0.75), ("y", "z", 0.5)], "a string, b string, jaccard double")
     assert [tuple(r) for r in sample_graph.alignment_tree(spark, ["x", "y", "z"], similar).collect()] == [("x", "y", 0.25, 1), ("y", "z", 0.5, 1)]
+
+
+def test_neighbours_shuffle_no_pairs(spark):
+    """Profiles with gaps and repeated cells, equal indices and nulls; only features are shuffled, not their pairs."""
+    rng = np.random.default_rng(9)
+    at = {k: None if k == 5 else float(rng.choice([0.0, 0.5, 1.0, 30.0, 31.9, 90.0])) for k in range(120)}
+    cells = [(k, f"s{s}", float(rng.integers(0, 4))) for k in at for s in range(5)]
+    frames = spark.createDataFrame(list(at.items()), "k long, ri double").repartition(3), spark.createDataFrame(cells, "k long, s string, v double").repartition(3)
+    found = indices.penalised_neighbours(frames[0], frames[0], frames[1], "k", "ri", "s", "v", 0.6, 2.0, 0.4)
+    v = np.array([x for _, _, x in cells]).reshape(-1, 5)
+    want = {}
+    for i, a in at.items():
+        for j, b in at.items():
+            if a is not None and b is not None and abs(a - b) <= 2 and v[i].std() and v[j].std():
+                d = abs(a - b)
+                score = np.corrcoef(v[i], v[j])[0, 1] * (1 if d < 0.6 else 2 / (1 + math.exp(d * math.e / 2)))
+                assert abs(score - 0.4) > 1e-9
+                if score > 0.4:
+                    want[i, j] = round(score, 9)
+    assert {(r["seed"], r["k"]): round(r["score"], 9) for r in found.collect()} == want and len(want) > 500
+    assert "hashpartitioning(seed" not in found._jdf.queryExecution().executedPlan().toString()
