@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,12 +87,116 @@ def scored(pairs: DataFrame, query: str, reference: str, tolerance: float = 0.1,
     return pairs.mapInArrow(run, schema)
 
 
-def search_library(spectra: DataFrame, library: DataFrame, precursor: float = 0.01, tolerance: float = 0.01, least: float = 0.6, **options) -> DataFrame:
-    """Spectra (id, precursor_mz, peaks) against a library of the same columns: pairs with precursors at most ``precursor`` Da apart and a cosine of ``least`` or more."""
+def _peaks(table: pa.Table, root: bool) -> dict:
+    """A table's peaks as flat arrays: their row, m/z, intensity, that over the row's largest, its weight, and per row the sum of squared weights (0 without intensity)."""
+    lists = pa.concat_arrays(table.column("peaks").chunks)
+    n = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), dtype=np.int64)
+    flat = lists.flatten()
+    mz, raw = (np.asarray(pc.struct_field(flat, c).cast(pa.float64()), dtype=float) for c in ("mz", "intensity"))
+    row, some, starts = np.repeat(np.arange(len(n)), n), np.flatnonzero(n), np.cumsum(n) - n
+    top, squares = np.zeros(len(n)), np.zeros(len(n))
+    if len(some):
+        top[some] = np.maximum.reduceat(raw, starts[some])
+    x = raw / np.where(top > 0, top, 1.0)[row]
+    weight = np.sqrt(np.maximum(x, 0.0)) if root else x
+    for k in np.unique(n[some]):  # rows of one length, so that sums are rounded as one spectrum's
+        own = np.flatnonzero(n == k)
+        squares[own] = (weight[starts[own][:, None] + np.arange(k)] ** 2).sum(axis=1)
+    return {"row": row, "mz": mz, "raw": raw, "weight": weight, "squares": np.where(top > 0, squares, 0.0), "starts": starts}
+
+
+def _spread(low: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For ranges of ``n`` from ``low``: the number of its range and its value, for every element."""
+    which = np.repeat(np.arange(len(n)), n)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + low[which]
+
+
+def matched_pairs(a: pa.Table, b: pa.Table, precursor: float, tolerance: float, least: float, root: bool = True, part: int = 1 << 20) -> Iterator[tuple[np.ndarray, ...]]:
+    """(row of a, row of b, cosine, n_matched, entropy) of the pairs of spectra (precursor_mz, peaks) with precursors at most ``precursor`` apart and a cosine of ``least``, above 0, or more.
+
+    As ``matched_cosine`` and ``matched_entropy``, from the matching peaks of
+    all pairs at once: pairs without one score 0 and are never made. Some
+    ``part`` matches, of a row of ``a`` at least, are held at a time.
+    """
+    p, q = _peaks(a, root), _peaks(b, root)
+    x, y = (np.asarray(t.column("precursor_mz").cast(pa.float64()), dtype=float) for t in (a, b))
+    if not len(p["mz"]) or not len(q["mz"]):
+        return
+    low = min(p["mz"].min(), q["mz"].min())
+    wide = max(p["mz"].max(), q["mz"].max()) - low + 2 * tolerance + 1
+    cell = lambda v: np.floor((v - min(x.min(), y.min())) / (precursor * (1 + 1e-6)))
+    at = cell(y)[q["row"]] * wide + q["mz"] - low
+    order = np.argsort(at, kind="stable")
+    at, own = at[order], cell(x)[p["row"]] * wide + p["mz"] - low
+    slack = tolerance * (1 + 1e-6) + 1e-9 * (max(abs(at[0]), abs(at[-1]), own.max()) + wide)
+    first = np.stack([np.searchsorted(at, own + k * wide - slack) for k in (-1, 0, 1)], axis=1)
+    n = np.stack([np.searchsorted(at, own + k * wide + slack, "right") for k in (-1, 0, 1)], axis=1) - first
+    n[p["squares"][p["row"]] == 0] = 0
+    total = np.concatenate([[0], np.cumsum(n.sum(axis=1))])
+    ends = np.append(p["starts"][1:], len(own))  # of rows, in peaks
+    row = 0
+    while row < len(a):
+        begin = p["starts"][row]
+        row = max(row + 1, int(np.searchsorted(total[ends], total[begin] + part, "right")))
+        end = ends[row - 1]
+        which, j = _spread(first[begin:end].ravel(), n[begin:end].ravel())
+        i, j = which // 3 + begin, order[j]
+        r, s = p["row"][i], q["row"][j]
+        apart = np.abs(p["mz"][i] - q["mz"][j])
+        close = np.flatnonzero((apart <= tolerance) & (np.abs(x[r] - y[s]) <= precursor) & (q["squares"][s] > 0))
+        i, j, apart, pair = i[close], j[close], apart[close], r[close] * len(b) + s[close]
+        product = p["weight"][i] * q["weight"][j]
+        best = np.lexsort((j, i, -product, pair))
+        i, j, apart, pair, product = i[best], j[best], apart[best], pair[best], product[best]
+        new = np.append(True, pair[1:] != pair[:-1]) if len(pair) else np.zeros(0, bool)
+        pairs, number = pair[new], np.cumsum(new) - 1
+        dot, taken = np.zeros(len(pairs)), np.zeros(len(pairs), np.int32)
+        left = np.arange(len(pair))
+        while len(left):  # of each pair's open matches the first is taken, those that share a peak with it go
+            head = np.append(True, number[left][1:] != number[left][:-1])
+            chosen = left[head]
+            dot[number[chosen]] += product[chosen]
+            taken[number[chosen]] += 1
+            by = chosen[np.cumsum(head) - 1]
+            left = left[(i[left] != i[by]) & (j[left] != j[by])]
+        r, s = pairs // len(b), pairs % len(b)
+        length = np.sqrt(p["squares"][r] * q["squares"][s])
+        cosine = np.minimum(1.0, np.divide(dot, length, out=np.zeros(len(dot)), where=length > 0))
+        good = cosine >= least
+        held = np.flatnonzero(good[number])
+        held = held[np.lexsort((j[held], apart[held], i[held], number[held]))]  # each peak's nearest match
+        held = held[np.append(True, (number[held][1:] != number[held][:-1]) | (i[held][1:] != i[held][:-1]))] if len(held) else held
+        at_pair = (np.cumsum(good) - 1)[number[held]]
+        u, v = p["raw"][i[held]], q["raw"][j[held]]
+        size = int(good.sum())
+        sums = [np.bincount(at_pair, weights=w, minlength=size) for w in (u, v)]
+        fit = (sums[0] > 0) & (sums[1] > 0)
+        u, v = (w / np.where(fit, t, 1.0)[at_pair] for w, t in zip((u, v), sums))
+        m = (u + v) / 2
+        lost = sum(np.bincount(at_pair, weights=np.where(w > 0, w * np.log(np.where(w > 0, w, 1.0) / np.where(m > 0, m, 1.0)), 0.0), minlength=size) for w in (u, v))
+        yield r[good], s[good], cosine[good], taken[good], np.where(fit, 1 - lost / 2 / math.log(2), 0.0)
+
+
+def search_library(spectra: DataFrame, library: DataFrame, precursor: float = 0.01, tolerance: float = 0.01, least: float = 0.6, root: bool = True, **options) -> DataFrame:
+    """Spectra (id, precursor_mz, peaks) against a library of the same columns: pairs with precursors at most ``precursor`` Da apart and a cosine of ``least`` or more.
+
+    Pairs are made inside bands of precursors, from matching peaks; with a
+    limit of 0, a penalty or a shift every pair is scored by itself.
+    """
+    if least > 0 and not any(options.values()):
+        columns = ["id", F.col("precursor_mz").cast("double").alias("precursor_mz"), "peaks"]
+
+        def run(a: pa.Table, b: pa.Table) -> Iterator[pa.RecordBatch]:
+            ids = [pa.concat_arrays(t.column("id").chunks) for t in (a, b)]
+            for r, s, cosine, n, entropy in matched_pairs(a, b, precursor, tolerance, least, root):
+                yield pa.RecordBatch.from_arrays([ids[0].take(pa.array(r)), ids[1].take(pa.array(s)), pa.array(cosine), pa.array(n, pa.int32()), pa.array(entropy)], names=["spectrum_id", "library_id", "cosine", "n_matched", "entropy"])
+
+        kinds = [dict(df.dtypes)["id"] for df in (spectra, library)]
+        return bands.by_band(spectra.select(*columns), library.select(*columns), "precursor_mz", precursor, precursor * 16, run, f"spectrum_id {kinds[0]}, library_id {kinds[1]}, cosine double, n_matched int, entropy double")
     a = spectra.select(F.col("id").alias("spectrum_id"), F.col("precursor_mz").alias("__a"), F.col("peaks").alias("__q"))
     b = library.select(F.col("id").alias("library_id"), F.col("precursor_mz").alias("__b"), F.col("peaks").alias("__r"))
     near = bands.band_join(a, b, "__a", "__b", precursor * (1 + 1e-9), F.abs(F.col("__a") - F.col("__b")) <= precursor)
-    return scored(near.select("spectrum_id", "library_id", "__q", "__r"), "__q", "__r", tolerance, **options).where(F.col("cosine") >= least)
+    return scored(near.select("spectrum_id", "library_id", "__q", "__r"), "__q", "__r", tolerance, root=root, **options).where(F.col("cosine") >= least)
 
 
 def curated(found: DataFrame, cosine: float = 0.5, entropy: float = 0.4) -> DataFrame:

@@ -80,6 +80,25 @@ def test_spectrum_scores():
     assert spectra.matched_cosine(a, [(60.0, 3.0), (60.05, 5.0)], root=False)[1] == 1  # a peak is taken once
 
 
+def test_library_search_makes_pairs_from_peaks(spark):
+    """Scores are those of each pair by itself, at bands' edges and of empty spectra too; spectra are never joined to pairs."""
+    rng = random.Random(5)
+    of = lambda n: [(k, rng.choice([-40.0, 0.0, 79.5, 80.0, 84.5, 300.0]) + rng.randrange(9) / 2, None if k == 3 else [(float(rng.randrange(9)), float(rng.randrange(7))) for _ in range(rng.randrange(6))]) for k in range(n)]
+    left, right = of(160), of(170)
+    kind = "id long, precursor_mz double, peaks array<struct<mz: double, intensity: double>>"
+    found = spectra.search_library(*[spark.createDataFrame(t, kind).repartition(3) for t in (left, right)], 5.0, 0.5, 0.1)
+    want = {}
+    for i, x, a in left:
+        for j, y, b in right:
+            score, n = spectra.matched_cosine(a or [], b or [], 0.5)
+            if abs(x - y) <= 5 and score >= 0.1:
+                want[i, j] = (score, n, spectra.matched_entropy(a, b, 0.5))
+    got = {(r["spectrum_id"], r["library_id"]): (r["cosine"], r["n_matched"], r["entropy"]) for r in found.collect()}
+    assert got.keys() == want.keys() and len(want) > 1000
+    assert all(got[k][:2] == want[k][:2] and math.isclose(got[k][2], want[k][2], abs_tol=1e-12) for k in want)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_merge(spark):
     rows = [("t1", 1, 200.0, 10.0), ("t2", 2, 200.0004, 12.0), ("t3", 3, 200.0002, 40.0), ("t1", 4, 200.0003, 11.0), ("t2", 5, 350.0, 5.0)]
     got = merge.consensus(spark.createDataFrame(rows, "table string, id long, mz double, rtime double")).collect()
