@@ -22,6 +22,24 @@ def coarse_islands(df: DataFrame, value: str, reach: float, name: str = "island"
     return marked.join(numbered, [*keys, "__bucket"]).drop("__bucket")
 
 
+def value_islands(df: DataFrame, value: str, breaks, reach: float, name: str = "island") -> DataFrame:
+    """Add the first value of a row's run; ``breaks(current, previous)`` says whether a value starts a new one. Rows without a value go.
+
+    Only distinct values are windowed, inside buckets of ``reach``; what one
+    bucket hands to the next is ordered as a whole, a row for each bucket.
+    """
+    values = df.select(F.col(value).alias("__v")).where(F.col(value).isNotNull()).distinct().withColumn("__bucket", F.floor(F.col("__v") / F.lit(float(reach))).cast("long"))
+    order = Window.orderBy("__bucket")
+    ends = values.groupBy("__bucket").agg(F.max("__v").alias("__e")).select("__bucket", F.lag("__e").over(order).alias("__before"))
+    inside = Window.partitionBy("__bucket").orderBy("__v")
+    previous = F.coalesce(F.lag("__v").over(inside), F.col("__before"))
+    first = values.join(ends, "__bucket").withColumn("__first", F.when(F.coalesce(breaks(F.col("__v"), previous), F.lit(True)), F.col("__v")))
+    open_ = first.groupBy("__bucket").agg(F.max("__first").alias("__f")).select("__bucket", F.max("__f").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("__carried"))
+    own = F.max("__first").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    runs = first.join(open_, "__bucket").select("__v", F.coalesce(own, "__carried").alias(name))
+    return df.join(runs, F.col(value) == F.col("__v")).drop("__v")
+
+
 def islands(df: DataFrame, keys: list[str], order: str, breaks, name: str = "island", ties: tuple[str, ...] = ()) -> DataFrame:
     """Number the runs of each group: ``breaks(current, previous)`` says whether a row starts a new one."""
     by = Window.partitionBy(*keys).orderBy(order, *ties)

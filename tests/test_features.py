@@ -111,6 +111,30 @@ def test_merge(spark):
     assert sum(r["t1"] + r["t2"] + r["t3"] for r in wide) == 150 and max(r["n_tables"] for r in wide) == 2
 
 
+def test_merge_settles_each_run_by_itself(spark):
+    """Dense steps wider than the tolerance, copies, a chain of near values, ties and nulls: as one pass over all rows in order."""
+    rng = random.Random(11)
+    rows = [(f"t{rng.randrange(3)}", k, rng.randrange(3000, 3150) / 10, float(rng.randrange(20))) for k in range(2000)]
+    rows += [(f"t{k % 3}", 10_000 + k, 305.0, 4.0) for k in range(90)] + [(f"t{rng.randrange(4)}", 20_000 + k, 400 + rng.randrange(300) / 1000, rng.randrange(40) / 2) for k in range(700)]
+    groups, want = [], {}
+    for table, k, mz, rtime in sorted(rows, key=lambda r: (r[2], r[3], r[0], r[1])):
+        d = mz * 20.0 * 1e-6
+        near = [(abs(g["mz"] - mz) / d + abs(g["rt"] - rtime) / 3.0, n) for n, g in enumerate(groups) if mz - d < g["mz"] <= mz + d and abs(g["rt"] - rtime) <= 3.0 and table not in g["tables"]]
+        n = min(near)[1] if near else len(groups)
+        if not near:
+            groups.append({"tables": set(), "mzs": [], "rts": []})
+        g = groups[n]
+        g["tables"].add(table), g["mzs"].append(mz), g["rts"].append(rtime)
+        g["mz"], g["rt"] = float(np.median(g["mzs"])), float(np.median(g["rts"]))
+        want[k] = n
+    frame = spark.createDataFrame([*rows, ("t1", 90_000, 305.0, None), ("t2", 90_001, None, 1.0)], "table string, id long, mz double, rtime double").repartition(5)
+    got = {r["id"]: r for r in merge.consensus(frame, 20.0, 3.0, reach=1.0).collect()}
+    assert got.keys() == want.keys() | {90_000} and got[90_000]["group_rtime"] is None
+    assert all((got[k]["group_mz"], got[k]["group_rtime"]) == (groups[n]["mz"], groups[n]["rt"]) for k, n in want.items())
+    assert len({(n, got[k]["group"]) for k, n in want.items()}) == len(groups) == len({got[k]["group"] for k in want})
+    assert len({r["group"].rsplit("_", 1)[0] for r in got.values()}) > 140
+
+
 def test_text(spark):
     one = spark.createDataFrame([("a/b: <c>. .", 1536)], "s string, n long")
     r = one.select(text.safe_filename(F.col("s")).alias("a"), text.html_escape(F.col("s")).alias("b"), text.human_size(F.col("n")).alias("c"), text.as_markdown(F.create_map(F.lit("k"), F.col("s")), "T").alias("d")).first()
