@@ -35,15 +35,15 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def materialise(df: DataFrame, name: str = "stage", **options) -> DataFrame:
+    """Write ``df`` to the shared folder, by the writer's ``options``, and read it back.
 
     Cuts lineage, and makes anything that isn't reproducible (a sampled range
     partitioning, files written by tasks) happen once.
     """
     spark = df.sparkSession
     path = fresh_dir(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

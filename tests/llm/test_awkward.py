@@ -146,3 +146,19 @@ def test_deep_pages():
     """Elements nested deeper than any recursion limit: a menu inside is left out, text inside is kept."""
     html = "<div>" * 5000 + "<nav><ul><li>Menu</li></ul></nav><p>Deep text" + "</div>" * 5000 + "<p>After"
     assert [line for line, _ in html_extract.blocks_of(html_extract.parse(html))] == ["Deep text", "After"]
+
+
+def test_media_tables_are_packed(spark):
+    """Hex digests are half entropy, and payloads are compressed as zlib does by default."""
+    import zlib
+
+    import pyarrow.parquet as pq
+
+    from spectraflow.llm import media
+
+    samples = media.payload("a rather plain text, with words and more words of it, again and again " * 9)[1]
+    rows = b"".join(b"\0" + samples[k : k + media.WIDTH] for k in range(0, len(samples), media.WIDTH))
+    assert zlib.compress(rows, 6) in media.to_png(samples) and media.from_png(media.to_png(samples)) == samples
+    stored = media.store(spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string"), media.fresh_dir(spark, "media"))
+    found = [pq.ParquetFile(f.removeprefix("file:").replace("///", "/")).metadata for f in stored.inputFiles()]
+    assert {m.row_group(0).column(0).compression for m in found if m.num_rows} == {"ZSTD"}
